@@ -92,15 +92,11 @@ def strip(text: Column) -> Column:
 def fold_accents(text: Column) -> Column:
     """Compatibility-decompose and drop combining marks; ASCII text passes through."""
     source, target, expansions = folding_tables()
+    # One literal instead of hundreds; Catalyst folds it to a constant map.
+    pairs = "\x1f".join(f"{char}\x1e{plain}" for char, plain in expansions.items())
+    table = F.str_to_map(F.lit(pairs), F.lit("\x1f"), F.lit("\x1e"))
     unfolded = F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda ch: F.coalesce(
-                F.element_at(F.create_map(*[F.lit(x) for kv in expansions.items() for x in kv]), ch),
-                ch,
-            ),
-        ),
-        "",
+        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), ""
     )
     many = "[" + "".join(expansions) + "]"
     plain = F.translate(text, source, target)

@@ -81,12 +81,20 @@ def examine_files(parsed: DataFrame, specs: DataFrame, approvals: DataFrame) ->
     return gate_files(with_error)
 
 
-def route_rows(records: DataFrame) -> DataFrame:
-    """Data records with their file's spec -> every row on exactly one route.
+def candidate_rows(records: DataFrame) -> DataFrame:
+    """Data records with their file's spec -> candidates, without the source cells.
 
     Needs import_id, file_id, row_number, cells, columns, spec.
     """
-    candidates = extract_candidates(records).drop("cells", "columns", "spec")
+    return extract_candidates(records).drop("cells", "columns", "spec")
+
+
+def route_rows(candidates: DataFrame) -> DataFrame:
+    """Every candidate row on exactly one route.
+
+    The input is read twice (to find firsts and to mark repeats), so hand in stored
+    rows rather than a plan that still has to parse text.
+    """
     # Rejected rows take no part in repetition: they are keyed apart by their line.
     rejected = F.col("rejected_reason").isNotNull()
     keyed = candidates.withColumn("_hash", F.col("source_record_hash")).withColumn(
@@ -169,7 +177,8 @@ def ingest_batch(
         .select("*", "record.row_number", "record.cells")
         .drop("record")
     )
-    routed = store.stage(route_rows(records).withColumn("created_at", instant), batch_id, "routed")
+    candidates = store.stage(candidate_rows(records), batch_id, "candidates")
+    routed = store.stage(route_rows(candidates).withColumn("created_at", instant), batch_id, "routed")
 
     incoming = promote(routed.where("route = 'transaction'"))
     stored = store.read("transactions").where(F.col("batch_id") != batch_id)

@@ -102,7 +102,7 @@ def test_new_layout_needs_approval_then_is_recognised(spark, tmp_path, store):
     "text,encoding,expected",
     [
         ("data,hora,tipo,valor,forma de pagamento,novo campo\n2026-01-02,08:00:00,Pix,1,Pix,a\n", "utf-8", {"missing_column": 1, "unexpected_column": 1}),
-        ("", "utf-8", {"unknown_format": 1}),
+        ("\n", "utf-8", {"unknown_format": 1}),
         ("just words\nmore words\n", "utf-8", {"unknown_format": 1}),
         ("a\x00b,c\n", "utf-8", {"unreadable_file": 1}),
         ("foo,bar\n1,2\n", "utf-8", {"missing_minimum_column": 1}),
