@@ -321,10 +321,10 @@ def _parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("suggested_mapping").alias("mapping"),
         F.lit(True).alias("learned"),
         F.lit(2).cast("bigint").alias("spec_order"),
+    ).cast("struct<" + ",".join(f"{k}:{v}" for k, v in schemas.SPEC_FIELDS.items()) + ">")
+    return files.explode_records(
+        with_known.select("path", "file_id", "columns", F.coalesce("spec", generic).alias("spec"), "records")
     )
-    return with_known.select(
-        "path", "file_id", "columns", F.coalesce("spec", generic).alias("spec"), F.explode("records").alias("record")
-    ).select("path", "file_id", "columns", "spec", "record.row_number", "record.cells")
 
 
 @query
@@ -365,8 +365,9 @@ def constraint_violations(spark, sf_dir):
 
 
 def _pendings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = validate.validate_candidates(views.candidates(spark, sf_dir))
-    return validate.to_pending(valid.where("outcome = 'pending'"))
+    """Blocked rows, written as the pending table of a store would be."""
+    valid = validate.validate_candidates(staged(spark, views.candidates(spark, sf_dir)))
+    return staged(spark, validate.to_pending(valid.where("outcome = 'pending'")))
 
 
 @query

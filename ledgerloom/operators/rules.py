@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import RULE_CRITERIA
 from ledgerloom.functions.text import normalize_text
-from ledgerloom.operators.skew import lookup_dimension
+from ledgerloom.operators.skew import BROADCAST_ROWS_MAX, lookup_dimension
 
 # Criterion -> transaction column it is compared with.
 MATCHED_COLUMNS = {
@@ -102,13 +102,14 @@ def propose(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     transaction and rule is ever materialised and transactions are not regrouped.
     """
     best = best_rules_by_key(rules)
-    # At most 31 values exist, whatever the number of rules.
-    masks = sorted(row.mask for row in best.select("mask").distinct().collect())
+    # At most 31 rows come back, whatever the number of rules; their counts also tell
+    # which groups are small enough to broadcast.
+    sizes = {row["mask"]: row["count"] for row in best.groupBy("mask").count().collect()}
     compared = transactions
     for name, column in MATCHED_COLUMNS.items():
         compared = compared.withColumn(f"_{name}", normalize_text(F.col(column)))
     hits = []
-    for mask in masks:
+    for mask in sorted(sizes):
         used = [f"_{name}" for bit, name in enumerate(RULE_CRITERIA) if mask >> bit & 1]
         complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in used])
         key = F.when(complete, rule_key([f"_{n}" for n in RULE_CRITERIA], mask))
@@ -116,7 +117,9 @@ def propose(transactions: DataFrame, rules: DataFrame) -> DataFrame:
             F.col("rule_key").alias("_key"),
             F.struct("priority", "rule_ids", "outcomes").alias(f"_hit{mask}"),
         )
-        compared = lookup_dimension(compared.withColumn("_key", key), side, ["_key"], ["id"]).drop("_key")
+        compared = lookup_dimension(
+            compared.withColumn("_key", key), side, ["_key"], ["id"], sizes[mask] <= BROADCAST_ROWS_MAX
+        ).drop("_key")
         hits.append(F.col(f"_hit{mask}"))
     none = F.array().cast(
         "array<struct<priority:int,rule_ids:array<string>,outcomes:array<struct<nature:string,category_id:string>>>>"

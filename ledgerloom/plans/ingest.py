@@ -29,7 +29,7 @@ from ledgerloom.operators.reports import (
 )
 from ledgerloom.operators.skew import is_small
 from ledgerloom.operators.validate import candidate_struct, promote, to_pending, validate_candidates
-from ledgerloom.sources.files import list_files, profile_files, read_files, refused_files
+from ledgerloom.sources.files import explode_records, list_files, profile_files, read_files, refused_files
 from ledgerloom.sources.formats import all_specs, approval_error, learn_specs, upsert_specs
 from ledgerloom.sources.store import Store
 
@@ -172,12 +172,10 @@ def ingest_batch(
             "file_id",
             "columns",
             F.col("selected_spec").alias("spec"),
-            F.explode("records").alias("record"),
+            "records",
         )
-        .select("*", "record.row_number", "record.cells")
-        .drop("record")
     )
-    candidates = store.stage(candidate_rows(records), batch_id, "candidates")
+    candidates = store.stage(candidate_rows(explode_records(records)), batch_id, "candidates")
     routed = store.stage(route_rows(candidates).withColumn("created_at", instant), batch_id, "routed")
 
     incoming = promote(routed.where("route = 'transaction'"))

@@ -329,8 +329,14 @@ PROFILE_COLUMNS = [
 
 
 def explode_records(profiled: DataFrame) -> DataFrame:
-    """One row per data record: the file columns plus row_number and cells."""
+    """One row per data record: the file columns plus row_number and cells.
+
+    The outer form keeps Catalyst from copying the parsing expressions into a filter
+    below the explode; files without rows are dropped right after it.
+    """
     others = [c for c in profiled.columns if c != "records"]
-    return profiled.select(*others, F.explode("records").alias("record")).select(
-        *others, F.col("record.row_number").alias("row_number"), F.col("record.cells").alias("cells")
+    return (
+        profiled.select(*others, F.explode_outer("records").alias("record"))
+        .where("record is not null")
+        .select(*others, F.col("record.row_number").alias("row_number"), F.col("record.cells").alias("cells"))
     )
