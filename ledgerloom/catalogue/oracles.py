@@ -248,7 +248,7 @@ AMOUNT = f"({grouped('.')} || ',' || {FRAC})"
 FILES = f"""{ORDERS}, f0 as (select *, o_orderkey // {ROWS_PER_FILE} as file_no, c_name || ' José' as name,
       strftime(o_orderdate, '%Y-%m-%d') as iso, strftime(o_orderdate, '%d/%m/%Y') as dmy, {AMOUNT} as amount from base),
   rows0 as (select *, file_no % 5 as layout, 'file-' || lpad(cast(file_no as varchar), 12, '0') || '.csv' as path,
-      case when file_no % 2 = 1 then 'cp1252' else 'utf-8-sig' end as encoding,
+      case when file_no % 2 = 1 and file_no % 5 <> 4 then 'cp1252' else 'utf-8-sig' end as encoding,
       case when o_orderkey % 10 = 7 then name || chr(10) || '"linha", 2' else name || ', loja' end as quoted_name,
       case when file_no % 5 = 0 and o_orderkey % 10 = 7 then 2 else 1 end as line_count from f0),
   rows1 as (select *, case when layout = 1 then 3 else 1 end + sum(line_count) over (partition by file_no order by o_orderkey) as row_number,
