@@ -59,11 +59,8 @@ def normalize_text(spark, sf_dir):
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("item"),
         "text",
     )
-    return docs.unionByName(talk).select(
-        "item",
-        text.normalize_text(F.col("text")).alias("normalized"),
-        text.normalize_column_name(F.col("text")).alias("column_name"),
-    )
+    rows = docs.unionByName(talk).select("item", text.normalize_text(F.col("text")).alias("normalized"))
+    return rows.withColumn("column_name", F.lower("normalized"))
 
 
 @query
@@ -322,9 +319,8 @@ def _parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("learned"),
         F.lit(2).cast("bigint").alias("spec_order"),
     ).cast("struct<" + ",".join(f"{k}:{v}" for k, v in schemas.SPEC_FIELDS.items()) + ">")
-    return files.explode_records(
-        with_known.select("path", "file_id", "columns", F.coalesce("spec", generic).alias("spec"), "records")
-    )
+    chosen = with_known.select("path", "file_id", "columns", F.coalesce("spec", generic).alias("spec"), "records")
+    return files.explode_records(extract.with_positions(chosen))
 
 
 @query

@@ -16,6 +16,9 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Private-use character that marks text in need of the slower folding.
+UNFOLDS = "\ue000"
+
 # Words that name only the kind of a movement, never its other party.
 GENERIC_WORDS = [
     "BOLETO",
@@ -90,21 +93,29 @@ def strip(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Compatibility-decompose and drop combining marks; ASCII text passes through."""
+    """Compatibility-decompose and drop combining marks; ASCII text passes through.
+
+    The one-to-one translation also turns characters that unfold to several into a
+    mark, so the slower branch runs only on texts that hold one of them. Looking
+    characters up in a table costs the same however many there are; a regular
+    expression class of that size would be tried member by member.
+    """
     source, target, expansions = folding_tables()
+    many = "".join(expansions)
+    marked_source, marked_target = many + source, UNFOLDS * len(many) + target
     # One literal instead of hundreds; Catalyst folds it to a constant map.
     pairs = "\x1f".join(f"{char}\x1e{plain}" for char, plain in expansions.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\x1f"), F.lit("\x1e"))
-    unfolded = F.array_join(
-        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), ""
-    )
-    many = "[" + "".join(expansions) + "]"
-    plain = F.translate(text, source, target)
-    return (
-        F.when(F.octet_length(text) == F.char_length(text), text)
-        .when(text.rlike(many), F.translate(unfolded, source, target))
-        .otherwise(plain)
+
+    def unfold(original: Column) -> Column:
+        letters = F.transform(F.split(original, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch))
+        return F.translate(F.array_join(letters, ""), source, target)
+
+    folded = let(
+        F.translate(text, marked_source, marked_target),
+        lambda t: F.when(t.contains(UNFOLDS), unfold(text)).otherwise(t),
     )
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
 
 
 def normalize_text(text: Column) -> Column:

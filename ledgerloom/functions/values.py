@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import normalize_text, strip
+from ledgerloom.functions.text import let, normalize_text, strip
 
 INFLOW, OUTFLOW = "inflow", "outflow"
 
@@ -47,6 +47,17 @@ PAYMENT_HINTS = [
 DECIMAL_TEXT = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d{1,3}))?$"
 
 
+def to_bigint(digits: Column) -> Column:
+    """Integer text -> BIGINT, null beyond its range.
+
+    A failing ``try_cast`` costs an exception inside Spark, so hopeless text never
+    reaches it.
+    """
+    return F.when(digits == "", F.lit(0).cast("bigint")).when(
+        F.length(digits) <= 20, digits.try_cast("bigint")
+    )
+
+
 def decimal_to_minor(text: Column, exponent: int = 2) -> Column:
     """Exact decimal text -> integer minor units, null when it would lose digits.
 
@@ -55,24 +66,30 @@ def decimal_to_minor(text: Column, exponent: int = 2) -> Column:
     """
     if exponent < 0:
         raise ValueError("exponent must not be negative")
-    clean = strip(text)
-    whole = F.regexp_extract(clean, DECIMAL_TEXT, 2)
-    fraction = F.regexp_extract(clean, DECIMAL_TEXT, 3)
-    power = F.coalesce(F.regexp_extract(clean, DECIMAL_TEXT, 4).try_cast("int"), F.lit(0))
-    digits = F.concat(whole, fraction)
-    shift = power + exponent - F.length(fraction)
-    kept = F.greatest(F.length(digits) + shift, F.lit(0))
-    scaled = F.when(
-        shift >= 0, F.concat(F.ltrim(digits, F.lit("0")), F.repeat(F.lit("0"), F.least(shift, F.lit(40))))
-    ).when(
-        F.substring(digits, kept + 1, F.length(digits)).rlike("^0*$"),
-        F.substring(digits, F.lit(1), kept),
-    )
-    signed = F.concat(
-        F.when(F.regexp_extract(clean, DECIMAL_TEXT, 1) == "-", F.lit("-")).otherwise(F.lit("")),
-        F.when(digits.rlike("^0*$"), F.lit("0")).when(scaled == "", F.lit("0")).otherwise(scaled),
-    )
-    return F.when(clean.rlike(DECIMAL_TEXT) & clean.rlike(r"^[+-]?\.?\d"), signed.try_cast("bigint"))
+    def scale(clean: Column) -> Column:
+        parts = [F.regexp_extract(clean, DECIMAL_TEXT, group) for group in (1, 2, 3, 4)]
+        return let(F.struct(*[p.alias(n) for p, n in zip(parts, ("sign", "whole", "fraction", "power"))]), to_minor)
+
+    def to_minor(part: Column) -> Column:
+        digits = F.concat(part["whole"], part["fraction"])
+        power = F.when(part["power"] == "", F.lit(0)).otherwise(part["power"].cast("int"))
+        shift = power + exponent - F.length(part["fraction"])
+        kept = F.greatest(F.length(digits) + shift, F.lit(0))
+        scaled = F.when(
+            shift >= 0,
+            F.concat(F.ltrim(digits, F.lit("0")), F.repeat(F.lit("0"), F.least(shift, F.lit(40)))),
+        ).when(
+            F.substring(digits, kept + 1, F.length(digits)).rlike("^0*$"),
+            F.substring(digits, F.lit(1), kept),
+        )
+        unsigned = F.when(digits.rlike("^0*$") | (scaled == ""), F.lit("0")).otherwise(scaled)
+        # Without any digit the text was no number at all.
+        return F.when(
+            digits != "",
+            to_bigint(F.concat(F.when(part["sign"] == "-", F.lit("-")).otherwise(F.lit("")), unsigned)),
+        )
+
+    return let(strip(text), lambda clean: F.when(clean.rlike(DECIMAL_TEXT), scale(clean)))
 
 
 def plain_minus(text: Column) -> Column:
@@ -82,21 +99,28 @@ def plain_minus(text: Column) -> Column:
 
 def parse_money(text: Column) -> Column:
     """Money text in either thousands convention -> minor units, null if invalid."""
-    raw = plain_minus(text)
-    negative = (raw.startswith("(") & raw.endswith(")")) | raw.startswith("-")
-    kept = F.regexp_replace(raw, "[^0-9,.]", "")
+    def amount(raw: Column) -> Column:
+        minor = let(F.regexp_replace(raw, "[^0-9,.]", ""), lambda kept: let(one_dot(kept), _plain_number_to_minor))
+        return F.when(_is_negative(raw), -minor).otherwise(minor)
+
+    return let(plain_minus(text), amount)
+
+
+def _is_negative(raw: Column) -> Column:
+    return (raw.startswith("(") & raw.endswith(")")) | raw.startswith("-")
+
+
+def one_dot(kept: Column) -> Column:
+    """Digits with separators -> digits with the decimal mark as the only dot."""
     comma, dot = kept.contains(","), kept.contains(".")
     short_tail = kept.rlike(r"[,.]\d{1,2}$")
-    comma_last = kept.rlike(r",[^.]*$")
-    number = (
-        F.when(comma & dot & comma_last, F.translate(kept, ",.", "."))
+    return (
+        F.when(comma & dot & kept.rlike(r",[^.]*$"), F.translate(kept, ",.", "."))
         .when(comma & dot, F.translate(kept, ",", ""))
         .when(comma & short_tail, F.translate(kept, ",", "."))
         .when(dot & short_tail, kept)
         .otherwise(F.translate(kept, ",.", ""))
     )
-    minor = _plain_number_to_minor(number)
-    return F.when(negative, -minor).otherwise(minor)
 
 
 def _plain_number_to_minor(number: Column) -> Column:
@@ -108,7 +132,7 @@ def _plain_number_to_minor(number: Column) -> Column:
     )
     return F.when(
         number.rlike(r"^(\d+\.?\d*|\.\d+)$") & (F.length(cents) <= 2),
-        F.concat(whole, F.rpad(cents, 2, "0")).try_cast("bigint"),
+        to_bigint(F.ltrim(F.concat(whole, F.rpad(cents, 2, "0")), F.lit("0"))),
     )
 
 
@@ -129,45 +153,44 @@ def normalize_signed_amount(minor: Column, direction: Column) -> Column:
 
 
 def direction_from_amount_text(text: Column) -> Column:
-    raw = plain_minus(text)
-    return F.when(
-        raw.startswith("-") | (raw.startswith("(") & raw.endswith(")")), F.lit(OUTFLOW)
-    ).when(raw.startswith("+"), F.lit(INFLOW))
+    return let(
+        plain_minus(text),
+        lambda raw: F.when(_is_negative(raw), F.lit(OUTFLOW)).when(raw.startswith("+"), F.lit(INFLOW)),
+    )
 
 
 def direction_from_words(text: Column) -> Column:
-    words = F.split(normalize_text(text), " ")
-    inflow = F.arrays_overlap(words, F.array(*[F.lit(word) for word in INFLOW_WORDS]))
-    outflow = F.arrays_overlap(words, F.array(*[F.lit(word) for word in OUTFLOW_WORDS]))
-    return F.when(inflow & ~outflow, F.lit(INFLOW)).when(outflow & ~inflow, F.lit(OUTFLOW))
+    def decide(words: Column) -> Column:
+        inflow = F.arrays_overlap(words, F.array(*[F.lit(word) for word in INFLOW_WORDS]))
+        outflow = F.arrays_overlap(words, F.array(*[F.lit(word) for word in OUTFLOW_WORDS]))
+        return F.when(inflow & ~outflow, F.lit(INFLOW)).when(outflow & ~inflow, F.lit(OUTFLOW))
+
+    return let(F.split(normalize_text(text), " "), decide)
 
 
 def payment_context(text: Column) -> Column:
     """struct(method, instrument) from the first matching hint."""
-    normalized = normalize_text(text)
-    method = instrument = None
-    for hints, method_name, instrument_name in reversed(PAYMENT_HINTS):
-        hit = normalized.rlike("|".join(hints))
-        none = F.lit(None).cast("string")
-        method = F.when(hit, F.lit(method_name)).otherwise(none if method is None else method)
-        instrument = F.when(hit, F.lit(instrument_name)).otherwise(
-            none if instrument is None else instrument
-        )
-    return F.struct(method.alias("method"), instrument.alias("instrument"))
+    hints = F.array(
+        *[
+            F.struct(F.lit("|".join(words)).alias("words"), F.lit(method).alias("method"), F.lit(kind).alias("instrument"))
+            for words, method, kind in PAYMENT_HINTS
+        ]
+    )
+    hit = let(
+        normalize_text(text),
+        lambda normalized: F.get(F.filter(hints, lambda h: F.regexp_like(normalized, h["words"])), F.lit(0)),
+    )
+    return F.struct(hit["method"].alias("method"), hit["instrument"].alias("instrument"))
 
 
 def _date_of(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
     """Calendar date from three groups of one pattern; null for impossible dates."""
     y = F.regexp_extract(text, pattern, year)
-    return F.when(
-        text.rlike(pattern) & (y != "0000"),
-        F.concat_ws(
-            "-",
-            y,
-            F.lpad(F.regexp_extract(text, pattern, month), 2, "0"),
-            F.lpad(F.regexp_extract(text, pattern, day), 2, "0"),
-        ).try_cast("date"),
-    )
+    m = F.lpad(F.regexp_extract(text, pattern, month), 2, "0")
+    d = F.lpad(F.regexp_extract(text, pattern, day), 2, "0")
+    # Only the last days of short months are left for try_cast to refuse.
+    plausible = (y != "0000") & m.between("01", "12") & d.between("01", "31")
+    return F.when(text.rlike(pattern) & plausible, F.concat_ws("-", y, m, d).try_cast("date"))
 
 
 YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
@@ -176,16 +199,20 @@ YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
 
 def parse_date(text: Column, order: Column | None = None) -> Column:
     """Date in a declared order (ymd, dmy, mdy); without one only unambiguous text."""
-    clean = strip(text)
+    return let(strip(text), lambda clean: _date(clean, order))
+
+
+def _date(clean: Column, order: Column | None) -> Column:
     ymd = _date_of(clean, YEAR_FIRST, 1, 3, 4)
     dmy = _date_of(clean, YEAR_LAST, 4, 3, 1)
     mdy = _date_of(clean, YEAR_LAST, 4, 1, 3)
-    first = F.regexp_extract(clean, YEAR_LAST, 1).try_cast("int")
-    second = F.regexp_extract(clean, YEAR_LAST, 3).try_cast("int")
+    # Without a declared order the text decides only if one reading is no month.
+    first = F.lpad(F.regexp_extract(clean, YEAR_LAST, 1), 2, "0")
+    second = F.lpad(F.regexp_extract(clean, YEAR_LAST, 3), 2, "0")
     undeclared = (
         F.when(clean.rlike(YEAR_FIRST), ymd)
-        .when((first > 12) & (second <= 12), dmy)
-        .when((second > 12) & (first <= 12), mdy)
+        .when((first > "12") & (second <= "12"), dmy)
+        .when((second > "12") & (first <= "12"), mdy)
     )
     if order is None:
         return undeclared
@@ -202,14 +229,16 @@ CLOCK = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
 
 def parse_time(text: Column) -> Column:
     """``HH:mm:ss``; null for blank and for impossible times (see bad_time)."""
-    clean = strip(text)
-    hour, minute, second = (
-        F.lpad(F.regexp_extract(clean, CLOCK, group), 2, "0") for group in (1, 2, 3)
-    )
-    return F.when(
-        clean.rlike(CLOCK) & (hour <= "23") & (minute <= "59") & (second <= "59"),
-        F.concat_ws(":", hour, minute, second),
-    )
+    def clock(clean: Column) -> Column:
+        hour, minute, second = (
+            F.lpad(F.regexp_extract(clean, CLOCK, group), 2, "0") for group in (1, 2, 3)
+        )
+        return F.when(
+            clean.rlike(CLOCK) & (hour <= "23") & (minute <= "59") & (second <= "59"),
+            F.concat_ws(":", hour, minute, second),
+        )
+
+    return let(strip(text), clock)
 
 
 def bad_time(text: Column) -> Column:

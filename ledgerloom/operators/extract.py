@@ -44,8 +44,13 @@ def fold_surplus(cells: Column, width: Column, at: Column) -> Column:
     )
 
 
+def with_positions(files: DataFrame) -> DataFrame:
+    """Adds ``at``, worked out once per file, before its records become rows."""
+    return files.withColumn("at", column_positions(F.col("columns"), F.col("spec.mapping")))
+
+
 def extract_candidates(rows: DataFrame) -> DataFrame:
-    """Rows (file_id, row_number, cells, columns, spec, ...) -> candidates.
+    """Rows (file_id, row_number, cells, columns, spec, at, ...) -> candidates.
 
     Adds the candidate columns, ``rejected_reason`` (the row is counted but is no
     candidate) and ``warnings`` (codes of optional values that were ignored).
@@ -58,10 +63,10 @@ def extract_candidates(rows: DataFrame) -> DataFrame:
     folds = split & (fold_at > 0) & (F.size("cells") > width)
     prepared = rows.withColumn(
         "_cells", F.when(folds, fold_surplus(F.col("cells"), width, fold_at)).otherwise(F.col("cells"))
-    ).withColumn("_at", column_positions(F.col("columns"), spec["mapping"]))
+    )
 
     def cell(field: str) -> Column:
-        return strip(F.coalesce(F.get("_cells", F.col("_at")[field] - 1), F.lit("")))
+        return strip(F.coalesce(F.get("_cells", F.col("at")[field] - 1), F.lit("")))
 
     named = prepared.select(
         *rows.columns, "_cells", *[cell(field).alias(f"_{field}") for field in schemas.MAPPED_FIELDS]

@@ -17,7 +17,7 @@ from ledgerloom.functions import keys
 from ledgerloom.operators.dedup import mark_in_file_duplicates, resolve_duplicates, skip_imported
 from ledgerloom.operators.detect import detect_formats
 from ledgerloom.operators.drift import with_drift
-from ledgerloom.operators.extract import extract_candidates
+from ledgerloom.operators.extract import extract_candidates, with_positions
 from ledgerloom.operators.gate import blocked_issue_counts, gate_files
 from ledgerloom.operators.reports import (
     completion_status,
@@ -84,9 +84,9 @@ def examine_files(parsed: DataFrame, specs: DataFrame, approvals: DataFrame) ->
 def candidate_rows(records: DataFrame) -> DataFrame:
     """Data records with their file's spec -> candidates, without the source cells.
 
-    Needs import_id, file_id, row_number, cells, columns, spec.
+    Needs import_id, file_id, row_number, cells, columns, spec, at.
     """
-    return extract_candidates(records).drop("cells", "columns", "spec")
+    return extract_candidates(records).drop("cells", "columns", "spec", "at")
 
 
 def route_rows(candidates: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def ingest_batch(
             "records",
         )
     )
-    candidates = store.stage(candidate_rows(explode_records(records)), batch_id, "candidates")
+    candidates = store.stage(candidate_rows(explode_records(with_positions(records))), batch_id, "candidates")
     routed = store.stage(route_rows(candidates).withColumn("created_at", instant), batch_id, "routed")
 
     incoming = promote(routed.where("route = 'transaction'"))
