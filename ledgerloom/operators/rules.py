@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import RULE_CRITERIA
 from ledgerloom.functions.text import normalize_text
-from ledgerloom.operators.skew import BROADCAST_ROWS_MAX, lookup_dimension
+from ledgerloom.operators.skew import BROADCAST_ROWS_MAX, hot_keys, lookup, lookup_dimension
 
 # Criterion -> transaction column it is compared with.
 MATCHED_COLUMNS = {
@@ -108,7 +108,7 @@ def propose(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     compared = transactions
     for name, column in MATCHED_COLUMNS.items():
         compared = compared.withColumn(f"_{name}", normalize_text(F.col(column)))
-    hits = []
+    facts, hits = compared, []
     for mask in sorted(sizes):
         used = [f"_{name}" for bit, name in enumerate(RULE_CRITERIA) if mask >> bit & 1]
         complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in used])
@@ -117,9 +117,14 @@ def propose(transactions: DataFrame, rules: DataFrame) -> DataFrame:
             F.col("rule_key").alias("_key"),
             F.struct("priority", "rule_ids", "outcomes").alias(f"_hit{mask}"),
         )
-        compared = lookup_dimension(
-            compared.withColumn("_key", key), side, ["_key"], ["id"], sizes[mask] <= BROADCAST_ROWS_MAX
-        ).drop("_key")
+        keyed = compared.withColumn("_key", key)
+        if sizes[mask] <= BROADCAST_ROWS_MAX:
+            matched = keyed.join(F.broadcast(side), "_key", "left")
+        else:
+            # Hot keys are counted on the facts alone, so the plan grows by one join per group.
+            counts = facts.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+            matched = lookup(keyed, side, ["_key"], ["id"], hot_keys(counts, ["_key"], "_n"))
+        compared = matched.drop("_key")
         hits.append(F.col(f"_hit{mask}"))
     none = F.array().cast(
         "array<struct<priority:int,rule_ids:array<string>,outcomes:array<struct<nature:string,category_id:string>>>>"
