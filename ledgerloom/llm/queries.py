@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, mixture, near, quality, sharding, spans, suffix
+from ledgerloom.llm import bpe, forest, mixture, near, quality, sharding, spans, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def word_vocabulary() -> str:
     """Place of the public word-level vocabulary file."""
     import public_tokenizers
@@ -44,6 +48,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated(_table(spark, sf_dir, "documents"))
 
 
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixture.mix(_table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -51,10 +59,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_hash_prefix_forest": op9_hash_prefix_forest,
     "op10_mixing": op10_mixing,
 }
