@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, forest, mixture, near, quality, sharding, spans, suffix, toxicity
+from ledgerloom.llm import bpe, chat, forest, mixture, near, quality, sharding, spans, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(*chat.exchanges(_table(spark, sf_dir, "conversations")), chat.REPLY)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ REGISTERED = {
     "op1_order_minhash": op1_order_minhash,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_tool_calls": op4_tool_calls,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
