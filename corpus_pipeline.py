@@ -1,24 +1,60 @@
-"""A corpus made ready for training: filter, deduplicate, mix, encode."""
+"""A corpus made ready for training: filter, deduplicate, mix, encode.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; between stages
+the documents are written as Parquet to the shared folder. All but the last return COLUMNS.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import bpe, mixture, near, quality, spans
 from ledgerloom.llm.common import stage
-from ledgerloom.llm.quality import judge
+from ledgerloom.llm.queries import word_vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = judge(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    verdicts = quality.judge(docs, carry=COLUMNS[1:])
+    return verdicts.filter("kept").select(COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal or near-equal texts."""
+    return near.representatives(docs, COLUMNS[2:]).select(COLUMNS)
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand earlier in the corpus; those with nothing left go."""
+    return spans.remove_repeated(docs, carry=["lang", "source"]).filter("text <> ''").select(
+        "doc_id", "text", "lang", "source", F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    ).select(COLUMNS)
+
+
+def to_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them; the last one of a source is cut to fit."""
+    return mixture.mixed_documents(docs).select(
+        "doc_id", "text", "lang", "source", F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    ).select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to the vocabulary's form of the text."""
+    return bpe.encode_digests(docs, word_vocabulary())
 
 
-STAGES = [("quality_rules", keep_good)]
+STAGES = [
+    ("quality_rules", keep_good),
+    ("near_dedup", one_of_each),
+    ("substring_dedup", drop_passages),
+    ("mixing", to_mixture),
+    ("bpe", encode),
+]
 
-#: The stages hash, cluster and encode; SQL can't express them.
+#: Hashing, clustering and encoding stages can't be expressed in SQL.
 ORACLE_SQL = None
 
 

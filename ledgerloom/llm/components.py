@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-lowest")
         large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = stage(large, "edges")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = stage(large.groupBy("u").agg(F.min("v").alias("m")), "edges-lowest")
         small = large.join(lowest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stage(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, mark = mark, _mark(now)

@@ -16,7 +16,7 @@ from ledgerloom.llm.common import stage
 TREES = 16
 BITS = 31
 #: Candidates a query asks for before it stops ascending, as a share of all vectors; those found in several trees count in each.
-CANDIDATE_SHARE = 1.0
+CANDIDATE_SHARE = 0.75
 LEAST_CANDIDATES = 2000
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 4096

@@ -113,7 +113,7 @@ def mix(
             F.col("source").cast("string").alias("source"),
             source_key().alias("_key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("_u"),
+            _identity(seed).alias("_u"),
         ),
         "mix-rows",
     )
@@ -137,6 +137,8 @@ def mix(
     per_source = per_source.select(
         "_key", "source_size", F.round("target").cast("long").alias("_take"), F.coalesce("_n", F.lit(1)).alias("_n"), F.col("_n").isNull().alias("_late")
     ).filter("_take > 0")
+    # Staged, so that joins by source read plain shuffles and a large source can be split.
+    per_source = stage(per_source, "mix-sources")
     turns = turns.select("slot", "_key", (F.col("_turn") - 1).alias("_block")).unionByName(
         per_source.filter("_late").select(F.lit(slots).cast("long").alias("slot"), "_key", F.lit(0).cast("long").alias("_block"))
     )
@@ -166,6 +168,29 @@ def mix(
     documents = (
         placed.join(taken, ["_key", "_pos"], "left")
         .join(goals, "_key")
-        .select("doc_id", "source", "size", "source_size", "target", "weight", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_key", "_pos")
+        .select("doc_id", "source", "size", "source_size", "target", "weight", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_key", "_pos", "_u")
     )
     return documents, pieces
+
+
+def mixed_documents(docs: DataFrame, seed: int = 23, **options) -> DataFrame:
+    """The rows of docs as often as mix() takes them, in no order.
+
+    A document that a pass takes in part (one per source and pass at most) is cut to those words,
+    put together with single spaces. Rows that repeat stay as many as the mix takes of them.
+    """
+    documents, pieces = mix(docs, seed=seed, **options)
+    passes = pieces.groupBy("_key", "_pos", "pass").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
+    wanted = passes.join(documents.select("_key", "_pos", "_u", "size"), ["_key", "_pos"])
+    wanted = stage(wanted.groupBy("_u").agg(F.collect_list(F.struct("first", "words", "size")).alias("_takes")), "mix-wanted")
+    rows = docs.withColumn("_u", _identity(seed))
+    if not documents.groupBy("_u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["_u"])
+    taken = rows.join(wanted, "_u").withColumn("_take", F.explode("_takes"))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.col("_take.first").cast("int") + 1, F.col("_take.words").cast("int")), " ")
+    whole = F.col("_take.words") == F.col("_take.size")
+    return taken.withColumn("text", F.when(whole, F.col("text")).otherwise(part)).select(*docs.columns)
+
+
+def _identity(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))

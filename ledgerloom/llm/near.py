@@ -223,7 +223,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 def _hub_pairs(rows: DataFrame, counts: DataFrame, degrees: DataFrame) -> DataFrame:
     """Pairs of every member of the buckets with the member that shares most buckets with others."""
     weighed = rows.join(counts, "key").join(degrees, "node")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("degree", "node", "root")).alias("hub"))
+    hubs = stage(weighed.groupBy("key").agg(F.max(F.struct("degree", "node", "root")).alias("hub")), "near-hubs")
     pairs = rows.join(hubs, "key").filter("root != hub.root")
     return pairs.select(*_ordered(F.col("node"), F.col("hub.node"))).distinct()
 
@@ -245,7 +245,7 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     sketched = rows.mapInArrow(_emit_sketches, "node binary, doc_id long, keys array<long>").filter(F.size("keys") > 0)
     known = stage(sketched.groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "near-sketches")
     bands = known.select("node", F.explode("keys").alias("key"))
-    often = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    often = stage(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-often")
     live = stage(bands.join(often, "key"), "near-buckets")
     degrees = stage(live.groupBy("node").agg(F.sum("n").alias("degree")), "near-degrees")
     known_live = known.join(degrees.select("node"), "node", "left_semi")
@@ -258,7 +258,7 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     near = stage(_linked(_keyed(_hub_pairs(alone, often.select("key"), degrees), known), texts, least), "near-links")
     roots = components(near)
     apart = live.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    counts = _counts(apart)
+    counts = stage(_counts(apart), "near-counts")
     apart = stage(apart.join(counts, "key"), "near-apart")
     members, pairs = apart.select("key", "node", "root"), []
     for level in range(LEVELS):
@@ -280,12 +280,22 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     return known.select("node", "doc_id", "copies"), near.unionByName(late)
 
 
+def representatives(docs: DataFrame, columns: list[str], least: float = SIMILARITY) -> DataFrame:
+    """One row of each class of classes(), with doc_id, text and `columns`.
+
+    Of rows that repeat doc_id and text one stays. Null texts are a class each and all stay.
+    """
+    kept = classes(docs, least, ["text", *columns]).filter("kept").select("doc_id", "text", *columns)
+    told = kept.filter("text is not null").withColumn("_node", F.md5("text")).dropDuplicates(["_node"]).drop("_node")
+    return told.unionByName(docs.filter("text is null").select(*kept.columns))
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether a text comes twice under one doc_id."""
     return not rows.groupBy("node", "doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, carry: list[str] | None = None) -> DataFrame:
     """doc_id, class_id, class_size, kept for every row: groups of equal and near-equal texts.
 
     Two texts are linked if at least 0.8 of their 5-word shingles (lower-cased words, occurrences
@@ -293,8 +303,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     linked through others, form a class; its id is the smallest doc_id (null if it has none).
     kept marks one row of each class: that doc_id's, the first by text where rows repeat.
     Texts of fewer than five words are one shingle. Rows with null, empty or wordless texts are a
-    class each: class_id is their doc_id, and they are kept. An empty table gives none. Other
-    columns are ignored.
+    class each: class_id is their doc_id, and they are kept. An empty table gives none.
+    Columns named in carry are passed on, others ignored.
     """
     nodes, edges = links(docs, least)
     roots = components(edges)
@@ -302,11 +312,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "node"))
     totals = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), best.alias("best"))
     member = grouped.join(totals, "root").select("node", F.col("doc_id").alias("_first"), "class_id", "class_size", (F.col("best.node") == F.col("node")).alias("_best"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("node"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("node"), *(F.col(c).alias(f"_carry_{c}") for c in carry or ()))
     chosen = F.coalesce("_best", F.lit(True)) & (F.coalesce("_first", F.lit(-1)) == F.coalesce("doc_id", F.lit(-1)))
     return rows.join(member, "node", "left").select(
         "doc_id",
         F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.when(F.col("class_size").isNull(), F.lit(True)).otherwise(chosen).alias("kept"),
+        *(F.col(f"_carry_{c}").alias(c) for c in carry or ()),
     )

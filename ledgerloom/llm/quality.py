@@ -48,8 +48,8 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 6, F.lit(0).cast("long")).otherwise(_let(words, count))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts the rules look at; one pass over the text, no shuffle.
+def features(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id and the counts the rules look at (and the columns `carry`); one pass over the text, no shuffle.
 
     Null text: all counts 0. Lines end at line feeds; a line counts if it holds a word.
     """
@@ -58,7 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     count = lambda kept: F.size(F.filter(F.col("_words"), kept)).cast("long")
-    counted = docs.select("doc_id", text.alias("_text"), bare.alias("_bare"), words.alias("_words"), lines.alias("_lines"))
+    counted = docs.select("doc_id", *(F.col(c).alias(f"_carry_{c}") for c in carry or ()), bare.alias("_bare"), words.alias("_words"), lines.alias("_lines"))
     return counted.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
@@ -71,6 +71,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.regexp_count("_bare", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         F.regexp_count("_bare", F.lit(r"[!?]")).cast("long").alias("n_shouts"),
         count(lambda w: w == "|").alias("n_bars"),
+        *(F.col(f"_carry_{c}").alias(c) for c in carry or ()),
     )
 
 
@@ -126,18 +127,18 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 60, prior_good: f
     return posterior
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """Base counts, base_failed, the posterior `quality` and `kept` for every row of docs.
 
     The rules of rules() vote on each text; estimate() weighs the vote patterns (counted before
     the shuffle, at most 3**7 rows for the driver); a text is kept if it passes the base limits
     and its probability of being good reaches the threshold.
     base_failed: fewer than 50 words, or over half of the words repeat. Null and empty texts have
-    no words and fail. Repeated rows each get their row. Other columns are ignored. An empty table
-    gives none.
+    no words and fail. Repeated rows each get their row. Columns named in carry are passed on, others ignored. An
+    empty table gives none.
     """
     names = list(rules())
-    voted = stage(features(docs).withColumns({f"vote_{name}": vote for name, vote in rules().items()}), "quality-votes")
+    voted = stage(features(docs, carry).withColumns({f"vote_{name}": vote for name, vote in rules().items()}), "quality-votes")
     votes = [f"vote_{name}" for name in names]
     failed = (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col("n_words"))
     counts = {tuple(r[v] for v in votes): r["n"] for r in voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()}

@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import stage
+
 SENTENCES = 3
 LEAST_WORDS = 25
 #: Sentences of more words are cut to pieces.
@@ -85,6 +87,7 @@ def _emit_runs(sentences_: int, least_words: int):
 
 def _drop_covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        carried = [c for c in batch.schema.names if c not in ("doc_id", "text", "runs")]
         kept, count, gone, spans = [], [], [], []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
             units = sentences(text or "")
@@ -97,10 +100,11 @@ def _drop_covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             gone.append(sum(covered))
             spans.append(bytes(covered).count(b"\0\1") + bool(covered and covered[0]))
         columns = [batch.column("doc_id"), pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in (count, gone, spans))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_sentences", "n_removed", "n_spans"])
+        columns += [batch.column(c) for c in carried]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_sentences", "n_removed", "n_spans", *carried])
 
 
-def remove_repeated(docs: DataFrame, sentences_: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeated(docs: DataFrame, sentences_: int = SENTENCES, least_words: int = LEAST_WORDS, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text (kept), n_sentences, n_removed, n_spans: texts without repeated passages.
 
     Every run of consecutive sentences (from each sentence on, the shortest of at least three
@@ -108,14 +112,19 @@ def remove_repeated(docs: DataFrame, sentences_: int = SENTENCES, least_words: i
     place in the text, stays; sentences that any other place covers are removed.
     Rows of equal doc_id and text are one document and keep each other's sentences; null doc_ids
     come first. Null texts stay null; texts shorter than a run are left alone; a text may become
-    empty. An empty table gives none. Other columns are ignored.
+    empty. An empty table gives none. Columns named in carry (not doc_id or text) are passed on, others
+    ignored.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("id"))
-    found = known.filter("text is not null").mapInArrow(_emit_runs(sentences_, least_words), RUN)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_carry_{c}") for c in carry or ()))
+    known = rows.withColumn("id", F.xxhash64("doc_id", "text"))
+    found = known.select("doc_id", "text", "id").filter("text is not null").mapInArrow(_emit_runs(sentences_, least_words), RUN)
     place = F.struct("doc_id", "id", "at")
-    first = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first")
+    # Staged, so that the join reads plain shuffles and a hot run can be split.
+    first = stage(found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first"), "span-first")
     later = found.join(first, "h").filter(place != F.col("first"))
     covered = later.groupBy("id").agg(F.collect_set("at").alias("runs"))
-    return known.join(covered, "id", "left").mapInArrow(
-        _drop_covered, "doc_id long, text string, n_sentences long, n_removed long, n_spans long"
+    kinds = "".join(f", _carry_{c} {docs.schema[c].dataType.simpleString()}" for c in carry or ())
+    kept = known.join(covered, "id", "left").drop("id").mapInArrow(
+        _drop_covered, "doc_id long, text string, n_sentences long, n_removed long, n_spans long" + kinds
     )
+    return kept.withColumnsRenamed({f"_carry_{c}": c for c in carry or ()})
