@@ -44,7 +44,7 @@ PAYMENT_HINTS = [
     (["TRANSFERENCIA"], "bank_transfer", "bank_account"),
 ]
 
-DECIMAL_TEXT = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d{1,3}))?$"
+DECIMAL_TEXT = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?)0*(\d*)(?<=\d))?$"
 
 
 def to_bigint(digits: Column) -> Column:
@@ -67,12 +67,14 @@ def decimal_to_minor(text: Column, exponent: int = 2) -> Column:
     if exponent < 0:
         raise ValueError("exponent must not be negative")
     def scale(clean: Column) -> Column:
-        parts = [F.regexp_extract(clean, DECIMAL_TEXT, group) for group in (1, 2, 3, 4)]
-        return let(F.struct(*[p.alias(n) for p, n in zip(parts, ("sign", "whole", "fraction", "power"))]), to_minor)
+        parts = [F.regexp_extract(clean, DECIMAL_TEXT, group) for group in (1, 2, 3, 4, 5)]
+        return let(F.struct(*[p.alias(n) for p, n in zip(parts, ("sign", "whole", "fraction", "down", "power"))]), to_minor)
 
     def to_minor(part: Column) -> Column:
         digits = F.concat(part["whole"], part["fraction"])
-        power = F.when(part["power"] == "", F.lit(0)).otherwise(part["power"].cast("int"))
+        # Four digits of exponent already exceed every amount that fits.
+        size = F.when(part["power"] == "", F.lit(0)).when(F.length(part["power"]) > 3, F.lit(9999)).otherwise(part["power"].try_cast("int"))
+        power = F.when(part["down"] == "-", -size).otherwise(size)
         shift = power + exponent - F.length(part["fraction"])
         kept = F.greatest(F.length(digits) + shift, F.lit(0))
         scaled = F.when(

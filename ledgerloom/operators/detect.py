@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ledgerloom import schemas
 from ledgerloom.functions.text import let
 from ledgerloom.operators.mapping import suggest_mapping
 from ledgerloom.operators.skew import is_small, lookup_dimension
+from ledgerloom.sources.files import DELIMITERS
 from ledgerloom.sources.formats import spec_struct
 
 THRESHOLD = 0.72
@@ -33,7 +36,8 @@ def detect_formats(profiles: DataFrame, specs: DataFrame, inline_max: int = INLI
 
     A registry of ordinary size travels as one array inside the plan and every file
     is scored in its own row, without a shuffle. A larger one is matched by equal
-    column names and delimiters, once per distinct layout.
+    column names, once per distinct layout; the result is the same. Blocked files have
+    no candidates.
     """
     if is_small(specs, inline_max):
         known = specs.agg(F.collect_list(spec_struct())).scalar()
@@ -68,37 +72,27 @@ def _rank_inline() -> Column:
 def rank_by_join(profiles: DataFrame, specs: DataFrame) -> DataFrame:
     """signature -> best three specs, for registries too large to carry along.
 
-    Layouts and specs meet on shared column names and on the delimiter. Specs that
-    share nothing score 0 and can only fill up a list of three, in registry order:
-    the first 2 * LISTED specs always contain enough of them.
+    Layouts and specs meet on shared column names. Specs that share none score by the
+    delimiter alone and can only fill up a list of three, in registry order: the first
+    2 * LISTED specs of each delimiter and of all always contain enough of them.
     """
-    layouts = profiles.groupBy("signature").agg(
+    layouts = profiles.where("issue_code is null").groupBy("signature").agg(
         F.any_value("columns").alias("columns"), F.any_value("delimiter").alias("delimiter")
     )
-    features = F.array_append(
-        F.transform(F.array_distinct("columns"), lambda c: F.concat(F.lit("c"), c)),
-        F.concat(F.lit("d"), F.col("delimiter")),
-    )
-    spec_features = F.array_append(
-        F.transform(F.array_distinct("expected_columns"), lambda c: F.concat(F.lit("c"), c)),
-        F.concat(F.lit("d"), F.col("delimiter")),
-    )
     pairs = (
-        layouts.select("signature", F.explode(features).alias("feature"))
+        layouts.select("signature", F.col("delimiter").alias("own"), F.explode(F.array_distinct("columns")).alias("feature"))
         .join(
             specs.select(
                 "format_id",
                 "spec_order",
+                "delimiter",
                 F.size(F.array_distinct("expected_columns")).alias("expected"),
-                F.explode(spec_features).alias("feature"),
+                F.explode(F.array_distinct("expected_columns")).alias("feature"),
             ),
             "feature",
         )
-        .groupBy("signature", "format_id", "spec_order", "expected")
-        .agg(
-            F.count_if(F.col("feature").startswith("c")).alias("shared"),
-            (F.count_if(F.col("feature").startswith("d")) > 0).alias("same_delimiter"),
-        )
+        .groupBy("signature", "format_id", "spec_order", "expected", (F.col("own") == F.col("delimiter")).alias("same_delimiter"))
+        .agg(F.count(F.lit(1)).alias("shared"))
         .select(
             "signature",
             "format_id",
@@ -106,11 +100,14 @@ def rank_by_join(profiles: DataFrame, specs: DataFrame) -> DataFrame:
             (-F.col("spec_order")).alias("place"),
         )
     )
-    fillers = specs.orderBy("spec_order").limit(2 * LISTED).agg(
-        F.collect_list(F.struct("format_id", (-F.col("spec_order")).alias("place")))
-    )
-    zero = layouts.select("signature", F.explode(fillers.scalar()).alias("f")).select(
-        "signature", "f.format_id", F.lit(0.0).alias("score"), "f.place"
+    firsts = [specs] + [specs.where(F.col("delimiter") == d) for d in DELIMITERS]
+    fillers = [frame.orderBy("spec_order").limit(2 * LISTED).select("format_id", "spec_order", "delimiter") for frame in firsts]
+    known = reduce(DataFrame.unionByName, fillers).distinct().agg(F.collect_list(F.struct("format_id", "spec_order", "delimiter")))
+    zero = layouts.select("signature", "delimiter", F.explode(known.scalar()).alias("f")).select(
+        "signature",
+        "f.format_id",
+        format_score(F.lit(0), F.lit(1), F.col("f.delimiter") == F.col("delimiter")).alias("score"),
+        (-F.col("f.spec_order")).alias("place"),
     )
     best_score = (
         pairs.unionByName(zero)
@@ -151,7 +148,7 @@ def _decide(ranked: DataFrame) -> DataFrame:
             ),
         )
         return F.struct(
-            status.alias("status"), F.when(found & ~rival, first["spec"]).alias("spec"), listed.alias("listed")
+            status.alias("status"), F.when(found & ~rival, first["spec"]).alias("spec"), F.when(F.col("issue_code").isNull(), listed).alias("listed")
         )
 
     return (

@@ -119,14 +119,17 @@ def classification_summary(
 
 def run_summary(proposals: DataFrame, skipped: DataFrame) -> DataFrame:
     """Counts of one classification run; ``skipped`` holds the current decisions."""
-    return _one_row(
-        {
-            "examined": _count(proposals),
-            "classified": _count(proposals, "status = 'classified'"),
-            "pending_review": _count(proposals, "status = 'pending_review'"),
-            "skipped_with_decision": _count(skipped),
-        }
+    # One pass over the proposals, whose plan holds the whole rule match.
+    counted = proposals.agg(
+        F.count(F.lit(1)).alias("examined"),
+        F.count_if(F.col("status") == "classified").alias("classified"),
+        F.count_if(F.col("status") == "pending_review").alias("pending_review"),
+        F.lit(0).cast("bigint").alias("skipped_with_decision"),
     )
+    none = [F.lit(0).cast("bigint").alias(c) for c in counted.columns[:-1]]
+    before = skipped.agg(F.count(F.lit(1)).alias("skipped_with_decision")).select(*none, "skipped_with_decision")
+    both = counted.unionByName(before)
+    return both.agg(*[F.sum(c).alias(c) for c in counted.columns])
 
 
 def classifier_view(transactions: DataFrame) -> DataFrame:

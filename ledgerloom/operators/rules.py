@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import RULE_CRITERIA
 from ledgerloom.functions.text import normalize_text
+from ledgerloom.sources.store import stage_shared
 from ledgerloom.operators.skew import BROADCAST_ROWS_MAX, hot_keys, lookup, lookup_dimension
 
 # Criterion -> transaction column it is compared with.
@@ -57,10 +58,12 @@ def criteria_mask(rules: DataFrame) -> Column:
 def best_rules_by_key(rules: DataFrame) -> DataFrame:
     """One row per (mask, criterion values): the rules that could win for that key.
 
+    A rule without any criterion matches nothing.
+
     A lower priority with equal criteria can never win, so keeping the top priority
     loses nothing. The evidence list is a union of ids, built map-side.
     """
-    masked = rules.withColumn("mask", criteria_mask(rules))
+    masked = rules.withColumn("mask", criteria_mask(rules)).where("mask > 0")
     keyed = masked.select(
         "mask",
         rule_key(RULE_CRITERIA).alias("rule_key"),
@@ -101,7 +104,8 @@ def propose(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     one equality lookup that adds at most one row per transaction. No pair of
     transaction and rule is ever materialised and transactions are not regrouped.
     """
-    best = best_rules_by_key(rules)
+    # Stored once: every group of rules reads its part.
+    best = stage_shared(best_rules_by_key(rules), "best-rules")
     # At most 31 rows come back, whatever the number of rules; their counts also tell
     # which groups are small enough to broadcast.
     sizes = {row["mask"]: row["count"] for row in best.groupBy("mask").count().collect()}

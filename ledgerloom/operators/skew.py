@@ -112,7 +112,3 @@ def mark_first(
         *[F.when(later, F.col("_first")[c]).alias(f"first_{c}") for c in carry],
     )
 
-
-def null_safe_text(column: str) -> Column:
-    """Text form of a nullable key, so that null keys compare equal in a join."""
-    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("-"))

@@ -62,8 +62,13 @@ def review_events_from(proposals: DataFrame, as_of: Column, seq: Column) -> Data
 def classify_batch(
     store: Store, batch_id: str, as_of: datetime, seq: int, limit: int | None = None
 ) -> DataFrame:
-    """One stored classification run; returns its one-row summary. ``seq`` grows per run."""
-    decisions = store.read("classification_decisions").where(F.col("batch_id") != batch_id)
+    """One stored classification run; returns its one-row summary. ``seq`` grows per run.
+
+    A run that is published already is left alone.
+    """
+    if store.committed(batch_id, f"{seq}-{limit}"):
+        return store.kept(batch_id, "summary")
+    decisions = store.read("classification_decisions")
     proposals = store.stage(
         classify_undecided(
             store.read("transactions"),
@@ -78,6 +83,6 @@ def classify_batch(
     order, instant = F.lit(seq), F.lit(as_of).cast("timestamp")
     store.write("classification_decisions", decisions_from(proposals, instant, order), batch_id)
     store.write("review_events", review_events_from(proposals, instant, order), batch_id)
-    summary = store.stage(run_summary(proposals, current_decisions(decisions)), batch_id, "summary")
-    store.commit(batch_id, ["classification_decisions", "review_events"])
-    return summary
+    store.keep(run_summary(proposals, current_decisions(decisions)), batch_id, "summary")
+    store.commit(batch_id, ["classification_decisions", "review_events"], f"{seq}-{limit}")
+    return store.kept(batch_id, "summary")

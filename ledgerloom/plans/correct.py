@@ -144,22 +144,34 @@ def correct_classifications(
 
 
 def correct_batch(store: Store, requests: DataFrame, batch_id: str) -> DataFrame:
-    """Apply and publish a batch of correction requests; returns the refused ones."""
+    """Apply and publish a batch of correction requests; returns the refused ones.
+
+    A batch that is published already is left alone if the requests are the same, and a
+    BatchConflict if not. Everything is worked out before the first table is written.
+    """
+    asked = store.stage(requests, batch_id, "requests")
+    mark = F.xxhash64(*asked.columns).cast("decimal(38,0)")
+    found = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(mark), F.lit(0)).alias("mark")).first()
+    content = f"{found.n}-{found.mark}"
+    if store.committed(batch_id, content):
+        store.clear(batch_id)
+        return store.kept(batch_id, "errors")
     result = correct_classifications(
-        store.stage(requests, batch_id, "requests"),
+        asked,
         store.read("transactions"),
         store.snapshot("categories"),
         store.snapshot("classification_rules"),
-        store.read("classification_decisions").where(F.col("batch_id") != batch_id),
-    )
-    rules = store.stage(result.rules, batch_id, "rules")
-    errors = store.stage(result.errors, batch_id, "errors")
-    store.write("classification_rules", rules, batch_id)
-    store.write("classification_decisions", result.decisions, batch_id)
-    store.write("classification_corrections", result.corrections, batch_id)
-    store.write("review_events", result.review_events, batch_id)
-    store.commit(
-        batch_id,
-        ["classification_rules", "classification_decisions", "classification_corrections", "review_events"],
+        store.read("classification_decisions"),
     )
-    return errors
+    tables = {
+        "classification_rules": result.rules,
+        "classification_decisions": result.decisions,
+        "classification_corrections": result.corrections,
+        "review_events": result.review_events,
+    }
+    ready = {table: store.stage(frame, batch_id, table) for table, frame in tables.items()}
+    store.keep(result.errors, batch_id, "errors")
+    for table, frame in ready.items():
+        store.write(table, frame, batch_id)
+    store.commit(batch_id, [*tables], content)
+    return store.kept(batch_id, "errors")

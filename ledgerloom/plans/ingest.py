@@ -7,6 +7,7 @@ folder and every later step starts from there. Rows are shuffled by record hash
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,7 @@ from ledgerloom.operators.reports import (
 )
 from ledgerloom.operators.skew import is_small
 from ledgerloom.operators.validate import candidate_struct, promote, to_pending, validate_candidates
-from ledgerloom.sources.files import explode_records, list_files, profile_files, read_files, refused_files
+from ledgerloom.sources.files import MAX_FILE_BYTES, explode_records, list_files, profile_files, read_files, refused_files, suffix_is_supported
 from ledgerloom.sources.formats import all_specs, approval_error, learn_specs, upsert_specs
 from ledgerloom.sources.store import Store
 
@@ -114,22 +115,65 @@ def ingest_batch(
     approvals: DataFrame | None = None,
     requested: DataFrame | None = None,
     files: DataFrame | None = None,
+    max_bytes: int = MAX_FILE_BYTES,
 ) -> None:
     """Read, judge, deduplicate and store all files under ``path`` as one batch.
 
     ``approvals`` (path, institution, currency, date_order, approval_seq) lets layouts
     in that nobody approved before; ``requested`` (path) reports files that are
-    missing; ``files`` replaces the scan, for a caller that already has the bytes.
+    missing; ``files`` replaces the scan, for a caller that already has the bytes;
+    files over ``max_bytes`` are refused and logged, like those of another suffix.
+    A batch that is published already is left alone if it is about the same files, and
+    a BatchConflict if not. A failed attempt is logged in a batch of its own.
     """
+    listing = list_files(spark, path) if files is None else files.select("path", "modificationTime", "length")
+    content_id = files_id(listing)
+    if store.committed(batch_id, content_id):
+        return
+    try:
+        _ingest(spark, store, path, batch_id, as_of, approvals, requested, files, listing, max_bytes, content_id)
+    except Exception as error:
+        store.clear(batch_id)
+        record_failed_batch(store, listing, f"{batch_id}-failed-{uuid.uuid4().hex[:8]}", type(error).__name__, as_of)
+        raise
+
+
+def files_id(listing: DataFrame) -> str:
+    """Identity of a set of files by path, time and length, in any order."""
+    mark = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+    found = listing.agg(F.count("*").alias("n"), F.coalesce(F.sum(mark), F.lit(0)).alias("mark")).first()
+    return f"{found.n}-{found.mark}"
+
+
+def drop_stored(content: DataFrame, runs: DataFrame, store: Store, batch_id: str) -> DataFrame:
+    """Files whose bytes no stored import has; bytes are hashed, nothing is parsed."""
+    hashes = content.select("path", F.sha2("content", 256).alias("source_file_hash"))
+    done = runs.where("persistence_status = 'stored'").select("source_file_hash").distinct()
+    stored = store.stage(hashes.join(done, "source_file_hash", "left_semi").select("path"), batch_id, "stored")
+    return content.join(F.broadcast(stored) if is_small(stored) else stored, "path", "left_anti")
+
+
+def _ingest(
+    spark: SparkSession,
+    store: Store,
+    path: str,
+    batch_id: str,
+    as_of: datetime | None,
+    approvals: DataFrame | None,
+    requested: DataFrame | None,
+    files: DataFrame | None,
+    listing: DataFrame,
+    max_bytes: int,
+    content_id: str,
+) -> None:
     instant = F.lit(as_of).cast("timestamp")
     if approvals is None:
         approvals = spark.createDataFrame([], NO_APPROVALS)
-    content = read_files(spark, path) if files is None else files
-    refused = (
-        refused_files(list_files(spark, path), requested)
-        if files is None
-        else spark.createDataFrame([], "path string, length bigint, issue_code string")
-    )
+    content = read_files(spark, path, max_bytes) if files is None else files.where(suffix_is_supported(F.col("path")) & (F.col("length") <= max_bytes))
+    refused = refused_files(listing, requested, max_bytes)
+    runs = store.read("import_runs")
+    if not runs.isEmpty():
+        content = drop_stored(content, runs, store, batch_id)
     parsed = store.stage(profile_files(content), batch_id, "parsed")
     file_level = parsed.drop("records")
     registry = store.snapshot("format_specs")
@@ -148,7 +192,6 @@ def ingest_batch(
         batch_id,
         "files",
     )
-    runs = store.read("import_runs").where(F.col("batch_id") != batch_id)
     checked = store.stage(
         skip_imported(
             gated.where("ingestion_status = 'processed'"), runs, ["import_seq", "path"]
@@ -179,7 +222,7 @@ def ingest_batch(
     routed = store.stage(route_rows(candidates).withColumn("created_at", instant), batch_id, "routed")
 
     incoming = promote(routed.where("route = 'transaction'"))
-    stored = store.read("transactions").where(F.col("batch_id") != batch_id)
+    stored = store.read("transactions")
     months = incoming.select(F.date_format("transaction_date", "yyyy-MM").alias("transaction_month")).distinct()
     # Calendar months are few; this prunes the stored partitions that cannot match.
     stored = stored.join(F.broadcast(months), "transaction_month", "left_semi")
@@ -210,7 +253,7 @@ def ingest_batch(
     store.write(
         "import_runs", import_log(gated, checked, routed, resolved, refused, batch_id, instant), batch_id
     )
-    store.commit(batch_id, tables)
+    store.commit(batch_id, tables, content_id)
 
 
 def import_log(

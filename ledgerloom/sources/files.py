@@ -1,7 +1,8 @@
 """Statement files: scan, decode, split into records, and profile.
 
-Everything about one file is computed inside its own row (files are capped in
-size), so profiling needs no shuffle and never moves file bytes between tasks.
+Everything about one file is computed inside its own row, so profiling needs no
+shuffle and never moves file bytes between tasks. One file is one value of a row,
+which holds 2 GB at most; larger files are refused and logged.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys
-from ledgerloom.functions.text import normalize_column_name, strip
+from ledgerloom.functions.text import let, normalize_column_name, strip
 
-MAX_FILE_BYTES = 10 * 1024 * 1024
-SAMPLE_CHARACTERS = 32768
-HEADER_SEARCH_RECORDS = 30
+# The largest file one row can hold; callers may set a lower limit.
+MAX_FILE_BYTES = 2**31 - 1 - 2**20
+# Records looked at first for a header; the others only if none of these qualifies.
+HEADER_FIRST_RECORDS = 30
 DELIMITERS = [",", ";", "\t", "|"]
 
 # Column names that mark a header row.
@@ -52,8 +54,10 @@ _CP1252 = _C1_DEFINED.encode("latin-1").decode("cp1252")
 # A quoted run opens only at the start of a cell; possessive, so long cells do
 # not recurse. DLM is replaced by the file's delimiter.
 _QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
-_RECORD = rf"\n((?:{_QUOTED}[^DLM\n]*+|[^DLM\n]*+)(?:DLM(?:{_QUOTED}[^DLM\n]*+|[^DLM\n]*+))*+)"
-_CELL = rf"(?s)DLM({_QUOTED}[^DLM]*+|[^DLM]*+)"
+# An opening quote that never closes runs to the end.
+_OPENED = '"[^"]*+(?:""[^"]*+)*+(?:"|\\z)'
+_RECORD = rf"\n((?:{_OPENED}[^DLM\n]*+|[^DLM\n]*+)(?:DLM(?:{_OPENED}[^DLM\n]*+|[^DLM\n]*+))*+)"
+_CELL = rf"(?s)DLM({_OPENED}[^DLM]*+|[^DLM]*+)"
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -126,17 +130,20 @@ def detect_delimiter(text: Column) -> Column:
     Quoted runs do not count. Ties go to the more frequent delimiter, then to the
     order comma, semicolon, tab, pipe.
     """
-    sample = F.regexp_replace(F.substring(text, 1, SAMPLE_CHARACTERS), _QUOTED, "")
+    sample = F.regexp_replace(text, _QUOTED, "")
     lines = F.filter(F.split(sample, "\n"), lambda line: strip(line) != "")
 
     def score(order: int, delimiter: str) -> Column:
         def with_counts(counts: Column) -> Column:
-            seen = F.filter(counts, lambda n: n > 0)
-            agreeing = F.array_max(
-                F.transform(
-                    F.array_distinct(seen), lambda value: F.size(F.filter(seen, lambda n: n == value))
-                )
-            )
+            # Longest run of equal counts once they are sorted.
+            start = F.struct(F.lit(0).alias("value"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+            def step(state: Column, n: Column) -> Column:
+                run = F.when(n == state["value"], state["run"] + 1).otherwise(F.lit(1))
+                return F.struct(n.alias("value"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+            seen = F.sort_array(F.filter(counts, lambda n: n > 0))
+            agreeing = F.aggregate(seen, start, step, lambda state: state["best"])
             return F.struct(
                 F.coalesce(agreeing, F.lit(0)).alias("lines"),
                 F.aggregate(counts, F.lit(0), lambda total, n: total + n).alias("total"),
@@ -168,15 +175,12 @@ def split_cells(record: Column, delimiter: Column) -> Column:
     raw = F.regexp_extract_all(F.concat(delimiter, record), _pattern(_CELL, delimiter), F.lit(1))
 
     def unquote(cell: Column) -> Column:
-        body = F.replace(
-            F.regexp_extract(cell, f"(?s)^({_QUOTED})", 1).substr(F.lit(2), F.greatest(F.length(F.regexp_extract(cell, f"(?s)^({_QUOTED})", 1)) - 2, F.lit(0))),
-            F.lit('""'),
-            F.lit('"'),
-        )
-        return F.when(
-            cell.startswith('"') & cell.rlike(f"^{_QUOTED}"),
-            F.concat(body, F.regexp_replace(cell, f"^{_QUOTED}", "")),
-        ).otherwise(cell)
+        def join(quoted: Column) -> Column:
+            inner = F.regexp_replace(F.substring(quoted, F.lit(2), F.length(quoted)), '(?s)^((?:[^"]|"")*+)"$', "$1")
+            rest = F.substring(cell, F.length(quoted) + 1, F.length(cell))
+            return F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)
+
+        return F.when(cell.startswith('"'), let(F.regexp_extract(cell, f"(?s)^({_OPENED})", 1), join)).otherwise(cell)
 
     return F.transform(raw, unquote)
 
@@ -240,25 +244,32 @@ def profile_files(files: DataFrame) -> DataFrame:
         .withColumn("cells", F.transform("raw", lambda r: split_cells(r, F.col("delimiter"))))
         .drop("content", "text", "raw")
     )
-    head = F.slice("cells", 1, HEADER_SEARCH_RECORDS)
-    scored = F.array_max(
-        F.transform(
-            head, lambda c, i: F.struct(_header_score(_named(c)).alias("score"), (-i).alias("at"))
+    def best_header(cells: Column, offset: int) -> Column:
+        """struct(score, -position) of the best-scoring record; earlier ones win ties."""
+        return F.array_max(
+            F.transform(cells, lambda c, i: F.struct(_header_score(_named(c)).alias("score"), (-i - offset).alias("at")))
         )
-    )
-    first_wide = F.array_min(
-        F.filter(
-            F.transform(
-                head,
-                lambda c, i: F.when(F.size(F.filter(c, lambda x: strip(x) != "")) >= 2, i),
-            ),
-            lambda i: i.isNotNull(),
+
+    def first_wide_record(cells: Column, offset: int) -> Column:
+        return F.array_min(
+            F.filter(
+                F.transform(cells, lambda c, i: F.when(F.size(F.filter(c, lambda x: strip(x) != "")) >= 2, i + offset)),
+                lambda i: i.isNotNull(),
+            )
         )
-    )
+
+    def found(cells: Column, offset: int) -> Column:
+        scored = let(best_header(cells, offset), lambda b: F.when(b["score"] > 0, -b["at"]))
+        return F.coalesce(scored, first_wide_record(cells, offset))
+
+    rest = F.slice("cells", HEADER_FIRST_RECORDS + 1, F.greatest(F.size("cells"), F.lit(1)))
     located = (
-        split.withColumn("best", scored)
-        .withColumn(
-            "header_at", F.when(F.col("best.score") > 0, -F.col("best.at")).otherwise(first_wide)
+        split.withColumn(
+            "header_at",
+            F.coalesce(
+                found(F.slice("cells", 1, HEADER_FIRST_RECORDS), 0),
+                F.when(F.size("cells") > HEADER_FIRST_RECORDS, found(rest, HEADER_FIRST_RECORDS)),
+            ),
         )
         .withColumn("header", F.get("cells", "header_at"))
         .withColumn("columns", F.transform("header", normalize_column_name))
@@ -314,20 +325,6 @@ def profile_files(files: DataFrame) -> DataFrame:
     )
 
 
-PROFILE_COLUMNS = [
-    "file_id",
-    "source_file_hash",
-    "encoding",
-    "delimiter",
-    "header_row_number",
-    "columns",
-    "row_count",
-    "irregular_row_count",
-    "signature",
-    "issue_code",
-]
-
-
 def explode_records(profiled: DataFrame) -> DataFrame:
     """One row per data record: the file columns plus row_number and cells.
 

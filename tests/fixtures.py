@@ -1,45 +1,37 @@
-"""Invented statement files with the shapes the layouts are known for."""
+"""Invented statement files; only the header names are those of the known layouts."""
 
 WALLET_HEADER = "data,hora,tipo,origem / destino,valor,forma de pagamento"
+#: 8 rows: one repeated as it is, Unicode and plain minus signs, words and methods without a direction.
 WALLET = "\n".join(
     [
         WALLET_HEADER,
-        '2026-03-02,08:15:00,Pix recebido,ANA EXEMPLO,"+R$ 250,00",Saldo PicPay',
-        '2026-03-03,12:40:00,Pagamento,MERCADO MODELO,"−R$ 48,75",Saldo PicPay',
-        '2026-03-04,09:10:00,Transferencia,BIA EXEMPLO,"−R$ 90,00",Pix',
-        '2026-03-05,18:22:00,Pagamento,CAFE MODELO,"−R$ 16,50",Cartao PicPay',
-        '2026-03-06,07:30:00,Pagamento,ONIBUS MODELO 001,"−R$ 27,90",Cartao PicPay',
-        '2026-03-07,10:05:00,Estorno,LOJA MODELO,"+R$ 32,00",Saldo PicPay',
-        '2026-03-08,19:45:00,Pagamento,FARMACIA MODELO,"−R$ 63,18",Saldo PicPay',
-        '2026-03-09,06:00:00,Pagamento,ASSINATURA MODELO,"−R$ 24,90",Cartao PicPay',
-        '2026-03-09,06:00:00,Pagamento,ASSINATURA MODELO,"−R$ 24,90",Cartao PicPay',
-        '2026-03-10,14:35:00,Pix recebido,CAIO EXEMPLO,"+R$ 180,00",Saldo PicPay',
-        '2026-04-01,11:50:00,Pagamento,LIVRARIA MODELO,"−R$ 72,40",Saldo PicPay',
-        '2026-04-02,20:12:00,Pagamento,CANTINA MODELO,"−R$ 54,30",Cartao PicPay',
+        '2025-11-21,21:07:33,Compra,Oficina Girassol,"−R$ 311,04",Cartao PicPay',
+        '2025-11-21,21:09:02,Envio,Tito Sabino,"−R$ 5,55",Pix',
+        '2025-11-24,00:31:48,Pix recebido,Vila Norte Aluguel,"+R$ 1.940,60",Saldo PicPay',
+        '2025-12-02,13:13:13,Compra,Padaria Tres Rios,"−R$ 8,90",Saldo PicPay',
+        '2025-12-02,13:13:13,Compra,Padaria Tres Rios,"−R$ 8,90",Saldo PicPay',
+        '2025-12-13,16:44:20,Estorno,Oficina Girassol,"+R$ 102,01",Cartao PicPay',
+        '2025-12-19,09:58:07,Compra,Loteria Azul,"-R$ 0,75",Boleto',
+        '2025-12-30,23:59:59,Compra,Barbearia Quatro,"−R$ 67,00",Pix',
         "",
     ]
 )
+#: 7 rows: an opening balance, a text with the delimiter in it, an unreliable id.
 BANK = "\n".join(
     [
-        "Extrato de exemplo: Ag: 0000 | Conta: 000000-0;;;;;",
-        "",
+        "Conta corrente 77-1 - periodo de janeiro;;;;;",
         "Data;Historico;Docto.;Credito;Debito;Saldo",
-        "01/03/2026;SALDO ANTERIOR;0;;;1.500,00",
-        "02/03/2026;PIX RECEBIDO EXEMPLO;12345;250,00;;1.750,00",
-        "03/03/2026;COMPRA;LOJA MODELO;84521;;80,00;1.670,00",
-        "04/03/2026;SAQUE EXEMPLO;456789;;200,00;1.470,00",
-        "05/03/2026;TRANSFERENCIA EXEMPLO;9876543;;150,00;1.320,00",
-        "06/03/2026;RENDIMENTO EXEMPLO;2345678;10,00;;1.330,00",
-        "07/03/2026;COD. LANC. EXEMPLO;0;;5,00;1.325,00",
-        "08/03/2026;AJUSTE EXEMPLO POR TEXTO;7654321;;45,00;1.280,00",
-        "09/03/2026;PAGAMENTO ID EXEMPLO;123456789;;20,00;1.260,00",
-        "10/03/2026;CREDITO EXEMPLO;3456789;800,00;;2.060,00",
-        "01/04/2026;COMPRA EXEMPLO;1122334;;60,00;2.000,00",
-        "02/04/2026;PIX EXEMPLO;2233445;;120,00;1.880,00",
+        "05/01/2027;TED DE TERCEIRO;550019;3.210,45;;4.020,95",
+        "04/01/2027;SALDO ANTERIOR;0;;;810,50",
+        "07/01/2027;TARIFA PACOTE;0;;39,90;3.981,05",
+        "11/01/2027;BOLETO;ESCOLA MUSICAL;9087;;612,15;3.368,90",
+        "18/01/2027;DEBITO AUTOMATICO LUZ;7001234;;143,72;3.225,18",
+        "25/01/2027;JUROS POUPANCA;31;2,27;;3.227,45",
+        "29/01/2027;CHEQUE COMPENSADO;880055;;1.000,00;2.227,45",
         "",
     ]
 )
-NEW_LAYOUT = "Data Movimento;Detalhes;Montante;Natureza\n10/08/2026;LOJA DEMO;12,50;Pagamento\n11/08/2026;SALARIO DEMO;30,00;Entrada\n"
+NEW_LAYOUT = "Data Movimento;Detalhes;Montante;Natureza\n21/05/2028;Feira Livre;7,35;Pagamento\n30/05/2028;Venda Bicicleta;415,20;Entrada\n"
 
 
 def write(folder, name, text, encoding="utf-8"):
