@@ -22,9 +22,9 @@ SIMILARITY = 0.8
 ORDER = 4
 SKETCHES = 24
 LEAST_SHARED = 2
-#: Members of a bucket that are all compared; larger buckets are divided by further sketches.
+#: Members of a bucket that are all compared; in larger ones each meets hubs and its next neighbours.
 SMALL_BUCKET = 16
-LEVELS = 3
+NEIGHBOURS = 3
 
 _WORD = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(20240601).integers(1, 2**63, 512, dtype=np.uint64)
@@ -228,6 +228,35 @@ def _hub_pairs(rows: DataFrame, counts: DataFrame, degrees: DataFrame) -> DataFr
     return pairs.select(*_ordered(F.col("node"), F.col("hub.node"))).distinct()
 
 
+def _second_hub_pairs(rows: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Pairs of members with the best connected one outside the root of the best connected of all."""
+    weighed = stage(rows.join(degrees, "node").select("key", "root", F.struct("degree", "node", "root").alias("m")), "near-weighed")
+    first = stage(weighed.groupBy("key").agg(F.max("m").alias("hub")), "near-hubs")
+    others = weighed.join(first, "key").filter("root != hub.root")
+    second = stage(others.groupBy("key").agg(F.max("m").alias("hub")), "near-hubs")
+    pairs = rows.join(second, "key").filter("root != hub.root")
+    return pairs.select(*_ordered(F.col("node"), F.col("hub.node"))).distinct()
+
+
+def _next_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root")), strict=True):
+            out += [sorted((row[1], other[1])) for other in held if other[0] == row[0] and other[2] != row[2]]
+            held = [*held[1 - NEIGHBOURS :], row] if NEIGHBOURS > 1 else [row]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _neighbour_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of members that stand next to each other once their bucket is sorted by the sketches after its own."""
+    at = F.array_position("keys", F.col("key")).cast("int")
+    following = [F.get("keys", (at + i) % F.size("keys")).alias(f"_s{i}") for i in range(4)]
+    order = ["key", "_s0", "_s1", "_s2", "_s3", "node"]
+    placed = rows.join(known.select("node", "keys"), "node").select("key", *following, "node", "root")
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node", "root").mapInArrow(_next_ones, "a binary, b binary").distinct()
+
+
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the different texts of docs, and links between similar ones.
 
@@ -236,9 +265,10 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
 
     Texts meet in buckets of equal sketches. First every member of a bucket is compared with the
     bucket's hub, which joins the large groups. Then members that are still apart are compared
-    with each other: all pairs in small buckets; large buckets are divided by further shared
-    sketches, which similar texts have and chance companions lack; what stays large after three
-    is compared with its hub again.
+    with each other: all pairs in small buckets; in large ones with a hub outside the first one's
+    group, and with their next neighbours when the bucket is sorted by the sketches that follow,
+    so that those with most in common stand together. A text has some ten buckets in common with
+    each text it is similar to, and each has its own hubs and order.
     """
     text = F.col("text")
     rows = docs.filter(text.isNotNull()).select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -260,22 +290,9 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     apart = live.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     counts = stage(_counts(apart), "near-counts")
     apart = stage(apart.join(counts, "key"), "near-apart")
-    members, pairs = apart.select("key", "node", "root"), []
-    for level in range(LEVELS):
-        counts = stage(_counts(members), "near-counts")
-        pairs.append(_bucket_pairs(members, counts))
-        large = members.join(counts.filter(F.col("n") > SMALL_BUCKET).select("key"), "key")
-        if large.isEmpty():
-            break
-        if level + 1 == LEVELS:
-            pairs.append(_hub_pairs(large, counts.filter(F.col("n") > SMALL_BUCKET).select("key"), degrees))
-            break
-        more = known.select("node", F.explode("keys").alias("_next"))
-        divided = large.join(more, "node").filter("_next != key")
-        members = stage(divided.select(F.xxhash64("key", "_next").alias("key"), "node", "root").distinct(), "near-divided")
-    rest = pairs[0]
-    for p in pairs[1:]:
-        rest = rest.unionByName(p)
+    members = apart.select("key", "node", "root")
+    large = stage(members.join(counts.filter(F.col("n") > SMALL_BUCKET).select("key"), "key"), "near-large")
+    rest = _bucket_pairs(members, counts).unionByName(_second_hub_pairs(large, degrees)).unionByName(_neighbour_pairs(large, known))
     late = stage(_linked(_keyed(rest.distinct(), known), texts, least), "near-links")
     return known.select("node", "doc_id", "copies"), near.unionByName(late)
 
