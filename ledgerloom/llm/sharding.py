@@ -14,7 +14,8 @@ OVERHEAD_BYTES = 16
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """Assign every row to a shard; law `rows`: shard counts are at most one apart.
 
-    Rows of a source are put in a seeded random order; row r of n gets the fraction (r - 1/2) / n.
+    Rows of a source are put in a seeded random order; row r of n gets the fraction (r - phase) / n,
+    with a phase between 0 and 1 for each source, so that sources of equal size don't clump.
     Ordering all rows by fraction deals the sources evenly, and cutting that order into equal
     counts gives every shard the mixture of the whole.
 
@@ -45,7 +46,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFra
         {"_rank": F.lit(1)},
         {"_rows": "_rank"},
     )
-    dealt = within.withColumn("_at", (F.col("_rank") - F.lit(0.5)) / F.col("_rows")).withColumn(
+    phase = (F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 20)) + 0.5) / F.lit(float(1 << 20))
+    dealt = within.withColumn("_at", (F.col("_rank") - phase) / F.col("_rows")).withColumn(
         "_slice", F.floor(F.col("_at") * F.lit(buckets)).cast("long")
     )
     placed = running(dealt.drop("_bucket"), [], "_slice", [F.col("_at"), F.col("_key"), F.col("_rank")], {"_place": F.lit(1)})
