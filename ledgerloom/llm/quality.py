@@ -88,6 +88,7 @@ def rules() -> dict[str, Column]:
     mean = _share("word_chars", "n_words")
     return {
         "word_length": vote((mean < 1.5) | (mean > 20), mean.between(2.5, 12)),
+        "letters": vote(_share("n_letters", "word_chars") < 0.75, _share("n_letters", "word_chars") > 0.85),
         "symbols": vote(_share("n_symbols", "word_chars") > 0.05, F.col("n_symbols") == 0),
         "lines": vote((F.col("n_dup_lines") >= 2) & (_share("n_dup_lines", "n_lines") > 0.3), F.col("n_dup_lines") == 0),
         "repeats": vote(_share("n_repeat_words", "n_words") > 0.35, _share("n_repeat_words", "n_words") < 0.1),
@@ -131,7 +132,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, carry: list[str] | None = Non
     """Base counts, base_failed, the posterior `quality` and `kept` for every row of docs.
 
     The rules of rules() vote on each text; estimate() weighs the vote patterns (counted before
-    the shuffle, at most 3**7 rows for the driver); a text is kept if it passes the base limits
+    the shuffle, at most 3**8 rows for the driver); a text is kept if it passes the base limits
     and its probability of being good reaches the threshold.
     base_failed: fewer than 50 words, or over half of the words repeat. Null and empty texts have
     no words and fail. Repeated rows each get their row. Columns named in carry are passed on, others ignored. An
