@@ -44,7 +44,9 @@ def _emit_strings(planes, cuts):
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             v = batch.column("v")
-            matrix = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, planes.value.shape[1]))
+            if not len(v):
+                continue
+            matrix = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
             bits = matrix @ planes.value.T > cuts.value
             strings = (bits.reshape(len(v), -1, BITS) * weights).sum(axis=2)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), v, pa.array(list(strings), pa.list_(pa.int64()))], names=["vec_id", "v", "strings"])
@@ -59,7 +61,7 @@ def index(vectors: DataFrame, trees: int = TREES, seed: int = 5) -> DataFrame:
     of a bounded sample (SAMPLE_ROWS), so that a bit halves the vectors.
     """
     sample = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
-    known = np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), -1)
+    known = np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), len(sample[0]["v"]) if sample else 0)
     planes = np.random.default_rng(seed).standard_normal((trees * BITS, known.shape[1]))
     cuts = np.median(known @ planes.T, axis=0) if len(sample) else np.zeros(len(planes))
     context = vectors.sparkSession.sparkContext
