@@ -68,7 +68,7 @@ def features(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_words")).alias("n_repeat_words"),
         F.regexp_count("_bare", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("_bare", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.regexp_count("_bare", F.lit(r"[\p{L}\p{N}]")).cast("long").alias("n_plain"),
         F.regexp_count("_bare", F.lit(r"[!?]")).cast("long").alias("n_shouts"),
         count(lambda w: w == "|").alias("n_bars"),
         *(F.col(f"_carry_{c}").alias(c) for c in carry or ()),
@@ -88,11 +88,11 @@ def rules() -> dict[str, Column]:
     mean = _share("word_chars", "n_words")
     return {
         "word_length": vote((mean < 1.5) | (mean > 20), mean.between(2.5, 12)),
-        "letters": vote(_share("n_letters", "word_chars") < 0.75, _share("n_letters", "word_chars") > 0.85),
+        "plain": vote(_share("n_plain", "word_chars") < 0.75, _share("n_plain", "word_chars") > 0.85),
         "symbols": vote(_share("n_symbols", "word_chars") > 0.05, F.col("n_symbols") == 0),
         "lines": vote((F.col("n_dup_lines") >= 2) & (_share("n_dup_lines", "n_lines") > 0.3), F.col("n_dup_lines") == 0),
         "repeats": vote(_share("n_repeat_words", "n_words") > 0.35, _share("n_repeat_words", "n_words") < 0.1),
-        "capitals": vote((F.col("n_letters") >= 10) & (_share("n_upper", "n_letters") > 0.5), _share("n_upper", "n_letters") < 0.2),
+        "capitals": vote((F.col("n_plain") >= 10) & (_share("n_upper", "n_plain") > 0.5), _share("n_upper", "n_plain") < 0.2),
         "shouting": vote(_share("n_shouts", "n_words") > 0.4, _share("n_shouts", "n_words") < 0.05),
         "table": vote(_share("n_bars", "n_words") > 0.2, F.col("n_bars") == 0),
     }
