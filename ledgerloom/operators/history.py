@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.runs import neighbours
-from ledgerloom.operators.skew import HOT_ROWS_MIN
+from ledgerloom.operators.skew import HOT_ROWS_MIN, lookup_dimension
 
 
 def decision_history(
@@ -26,7 +26,7 @@ def decision_history(
     if categories is None:
         return out
     names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    return out.join(names, "category_id", "left").select(*out.columns, "category_name")
+    return lookup_dimension(out, names, ["category_id"], ["id"])
 
 
 def current_decisions(decisions: DataFrame) -> DataFrame:

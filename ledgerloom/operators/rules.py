@@ -33,7 +33,8 @@ def with_category(rules: DataFrame, categories: DataFrame) -> DataFrame:
         F.col("name").alias("category_name"),
         F.col("is_active").alias("category_active"),
     )
-    return rules.join(names, "category_id", "left")
+    # Few categories and many rules: a category that holds most rules must not be one task.
+    return lookup_dimension(rules, names, ["category_id"], ["id"])
 
 
 def usable_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
@@ -183,7 +184,8 @@ def proposal_errors(proposals: DataFrame, transactions: DataFrame, rules: DataFr
         *[F.col(n).alias(f"_want_{n}") for n in RULE_CRITERIA],
         F.lit(True).alias("_usable"),
     )
-    joined = proposals.join(facts, "transaction_id", "left")
+    counts = proposals.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("_n"))
+    joined = lookup(proposals, facts, ["transaction_id"], proposals.columns, hot_keys(counts, ["transaction_id"], "_n"))
     joined = lookup_dimension(joined, winner, ["winning_rule_id"], ["transaction_id"])
     fits = reduce(
         lambda a, b: a & b,

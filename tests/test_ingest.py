@@ -234,3 +234,34 @@ def test_both_forms_of_detection_agree(spark):
     pick = lambda frame: sorted(map(str, frame.select("file_id", "detection_status", "format_candidates", "selected_spec.format_id").collect()))
     specs = builtin_specs(spark)
     assert pick(detect_formats(files, specs)) == pick(detect_formats(files, specs, inline_max=0))
+
+
+def test_changed_dimensions_and_review_requests_are_stored(spark, store, tmp_path):
+    from ledgerloom.plans.correct import correct_batch
+    from ledgerloom.plans.maintain import change_dimensions, request_review_batch
+
+    categories = spark.createDataFrame([(1, "create", "Bikes", None), (2, "create", " ", None)], "seq bigint, action string, name string, id string")
+    shape = (
+        "seq bigint, action string, id string, name string, priority int, nature string, category_id string, description_exact string,"
+        " merchant_exact string, counterparty_exact string, source_institution string, card_alias string, created_by_user boolean"
+    )
+    rule = (3, "create", None, "Fees", 40, "estorno", None, "TARIFA PACOTE", None, None, None, None, True)
+    rules = spark.createDataFrame([rule], shape)
+    got = {(r.kind, r.seq): (r.applied, r.error_code) for r in change_dimensions(store, categories, rules, "d1").collect()}
+    assert got == {("category", 1): (True, None), ("category", 2): (False, "category_name_required"), ("rule", 3): (True, None)}
+    change_dimensions(store, categories, rules, "d1")
+    assert store.snapshot("categories").count() == store.snapshot("classification_rules").count() == 1
+    assert store.commits().count() == 1
+
+    fixtures.write(tmp_path, "bank.csv", fixtures.BANK)
+    ingest(spark, tmp_path, store, "b1")
+    paid = store.read("transactions").where("description_raw = 'BOLETO; ESCOLA MUSICAL'").first().id
+    asked = spark.createDataFrame([(paid, AS_OF, 5), ("nobody", AS_OF, 6)], "transaction_id string, event_at timestamp, seq bigint")
+    request_review_batch(store, asked, "r1")
+    assert [r.transaction_id for r in store.read("review_events").collect()] == [paid]
+    wanted = spark.createDataFrame(
+        [(7, paid, "despesa", "bikes", False, 10, AS_OF)],
+        "seq bigint, transaction_id string, nature string, category_name string, remember boolean, rule_priority int, requested_at timestamp",
+    )
+    assert correct_batch(store, wanted, "c1").collect() == []
+    assert store.read("classification_decisions").first().transaction_id == paid
