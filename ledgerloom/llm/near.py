@@ -22,9 +22,12 @@ SIMILARITY = 0.8
 ORDER = 4
 SKETCHES = 24
 LEAST_SHARED = 2
-#: Members of a bucket that are all compared; in larger ones each meets hubs and its next neighbours.
+#: Members of a bucket that are all compared; in larger ones each meets hubs and its next neighbours,
+#: and those still apart meet by their rarest shingles.
 SMALL_BUCKET = 16
 NEIGHBOURS = 3
+#: Texts of a shingle in one part of the join by rarest shingles.
+PART_ROWS = 256
 
 _WORD = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(20240601).integers(1, 2**63, 512, dtype=np.uint64)
@@ -189,8 +192,12 @@ def _verify(least: float):
 def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b: nodes, keys_a, keys_b) whose texts are similar enough."""
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
-    likely = pairs.filter(shared >= LEAST_SHARED).select("a", "b")
-    first = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return _compared(pairs.filter(shared >= LEAST_SHARED).select("a", "b"), texts, least)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b: nodes) whose texts are similar enough."""
+    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a binary, b binary, similarity double")
 
@@ -257,6 +264,43 @@ def _neighbour_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node", "root").mapInArrow(_next_ones, "a binary, b binary").distinct()
 
 
+def _emit_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            found = [labelled(run).view(np.int64) for run in shingles(some.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([len(f) for f in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "shingles"])
+
+
+def _exact_pairs(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """All pairs of members (node, root) of different roots that can be similar enough, by their rarest shingles.
+
+    Of two texts that share what `least` asks for, each has a shared shingle among its n -
+    ceil(least * n) + 1 first ones in any order that holds for all; rarest first, few are shared
+    with others. Shingles of one text only take their places in that count and no part in the join.
+    """
+    members = stage(members.withColumn("id", F.monotonically_increasing_id()), "near-members")
+    told = texts.join(members.select("node", "id"), "node").select("id", "text")
+    each = stage(told.mapInArrow(_emit_labelled, "id long, n int, shingles array<long>"), "near-shingles")
+    tokens = each.select("id", F.explode("shingles").alias("token"))
+    often = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "near-frequent")
+    ranked = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("m")).join(each.select("id", "n"), "id")
+    # Shingles no other member has come before all of m.
+    ahead = F.col("n") - F.size("m")
+    indexed = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - ahead
+    first = ranked.filter(indexed > 0).select("id", "n", ahead.alias("ahead"), F.posexplode(F.slice("m", 1, indexed.cast("int"))).alias("i", "t"))
+    prefix = stage(first.join(members, "id").select("t.token", "node", "root", "n", (F.col("ahead") + F.col("i")).alias("at")), "near-prefix")
+    # One side of a common shingle is dealt to parts, the other goes to each of them.
+    parts = stage(prefix.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token", F.ceil(F.col("held") / PART_ROWS).cast("int").alias("parts")), "near-parts")
+    shared = prefix.join(parts, "token")
+    a = shared.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "at")))
+    b = shared.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "at")))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
+    # After the first shared shingle no more can be shared than either has left.
+    reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return a.join(b, ["token", "part"]).filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (reach >= need)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the different texts of docs, and links between similar ones.
 
@@ -267,8 +311,8 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     bucket's hub, which joins the large groups. Then members that are still apart are compared
     with each other: all pairs in small buckets; in large ones with a hub outside the first one's
     group, and with their next neighbours when the bucket is sorted by the sketches that follow,
-    so that those with most in common stand together. A text has some ten buckets in common with
-    each text it is similar to, and each has its own hubs and order.
+    so that those with most in common stand together. Members of large buckets that are apart even
+    then meet by their rarest shingles, which finds all similar pairs among them.
     """
     text = F.col("text")
     rows = docs.filter(text.isNotNull()).select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -294,7 +338,13 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     large = stage(members.join(counts.filter(F.col("n") > SMALL_BUCKET).select("key"), "key"), "near-large")
     rest = _bucket_pairs(members, counts).unionByName(_second_hub_pairs(large, degrees)).unionByName(_neighbour_pairs(large, known))
     late = stage(_linked(_keyed(rest.distinct(), known), texts, least), "near-links")
-    return known.select("node", "doc_id", "copies"), near.unionByName(late)
+
+    joined = near.unionByName(late)
+    apart = large.select("key", "node").join(components(joined), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = stage(apart, "near-apart")
+    members = apart.join(stage(_counts(apart), "near-counts"), "key", "left_semi").select("node", "root").distinct()
+    last = stage(_compared(_exact_pairs(members, texts, least), texts, least), "near-links")
+    return known.select("node", "doc_id", "copies"), joined.unionByName(last)
 
 
 def representatives(docs: DataFrame, columns: list[str], least: float = SIMILARITY) -> DataFrame:

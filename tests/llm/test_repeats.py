@@ -82,6 +82,19 @@ def test_near_duplicates(spark, odd_docs, monkeypatch):
     assert near.classes(odd_docs.limit(0)).collect() == []
 
 
+def test_near_duplicates_within_a_template(spark):
+    """Pairs at 0.8 or just above in a family whose other members, hubs too, are just below."""
+    template, rows = [f"t{i}" for i in range(200)], []
+    for i in range(200):
+        words = template[:196] + [f"o{i // 2}_{j}" for j in range(4)]
+        words[80:97] = [f"x{i}_{j}" for j in range(17)]
+        rows.append((i, " ".join(words)))
+    expected = near_model(rows)
+    assert expected == sorted(((i, i - i % 2) for i in range(200)), key=str)
+    got = near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == expected
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(200, 201), (201, 202), (200, 202), (7, 7)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
