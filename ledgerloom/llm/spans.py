@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -51,22 +52,29 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(units: list[str], sentences_: int = SENTENCES, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, str]]:
-    """From every sentence the shortest run of enough sentences and words: first, end, words compared.
+    """The shortest runs of enough sentences and words from every sentence on and up to every sentence: first, end, words compared.
 
-    Case and white space don't count. Sentences without words belong to no run of their own start.
+    They cover every sentence of any longer run. Case and white space don't count. No run starts
+    with a sentence without words.
     """
     words = [u.lower().split() for u in units]
     texts = [" ".join(w) for w in words]
-    held, end = 0, 0
+    total = [0, *accumulate(map(len, words))]
+    found, end, start = set(), 0, 0
     for first in range(len(units)):
-        while end < len(units) and (end - first < sentences_ or held < least_words):
-            held += len(words[end])
+        while end < len(units) and (end - first < sentences_ or total[end] - total[first] < least_words):
             end += 1
-        if end - first < sentences_ or held < least_words:
-            return
+        if end - first < sentences_ or total[end] - total[first] < least_words:
+            break
+        found.add((first, end))
+    for last in range(sentences_, len(units) + 1):
+        while last - start > sentences_ and total[last] - total[start + 1] >= least_words:
+            start += 1
+        if total[last] - total[start] >= least_words:
+            found.add((start, last))
+    for first, end in sorted(found):
         if words[first]:
             yield first, end, "\n".join(texts[first:end])
-        held -= len(words[first])
 
 
 def _emit_runs(sentences_: int, least_words: int):
@@ -107,9 +115,9 @@ def _drop_covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def remove_repeated(docs: DataFrame, sentences_: int = SENTENCES, least_words: int = LEAST_WORDS, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text (kept), n_sentences, n_removed, n_spans: texts without repeated passages.
 
-    Every run of consecutive sentences (from each sentence on, the shortest of at least three
-    sentences and 25 words) is hashed over the whole table. The first place of a run, by doc_id and
-    place in the text, stays; sentences that any other place covers are removed.
+    Runs of consecutive sentences (from each sentence on and up to each sentence, the shortest of at
+    least three sentences and 25 words) are hashed over the whole table. The first place of a run, by
+    doc_id and place in the text, stays; sentences that any other place covers are removed.
     Rows of equal doc_id and text are one document and keep each other's sentences; null doc_ids
     come first. Null texts stay null; texts shorter than a run are left alone; a text may become
     empty. An empty table gives none. Columns named in carry (not doc_id or text) are passed on, others

@@ -124,6 +124,35 @@ def test_repeated_passages(spark, odd_docs):
     assert spans.remove_repeated(odd_docs.limit(0)).collect() == []
 
 
+def every_run(units):
+    """All runs of at least three sentences and 25 words: first, end, words compared."""
+    words = [u.lower().split() for u in units]
+    for a in range(len(units)):
+        for e in range(a + 3, len(units) + 1):
+            if words[a] and sum(map(len, words[a:e])) >= 25:
+                yield a, e, "\n".join(" ".join(w) for w in words[a:e])
+
+
+def test_all_sentences_of_repeated_passages(spark):
+    rng = random.Random(9)
+    pool = [" ".join(f"p{i}_{j}" for j in range(rng.choice([3, 5, 9, 14]))) + ". " for i in range(60)]
+    told = ["".join(f"w{j} " for j in range(n)).strip() + ". " for n in (16, 8, 5, 5, 5)]
+    rows = [(0, "".join(told)), (1, "".join(told))]
+    for i in range(2, 60):
+        at, n = rng.randrange(52), rng.randint(3, 8)
+        rows.append((i, f"Own {i} start. " + "".join(pool[at : at + n]) + f"Own {i} end."))
+    first, kept = {}, {}
+    for i, text in rows:
+        for a, _, words in every_run(spans.sentences(text)):
+            first.setdefault(words, (i, a))
+    for i, text in rows:
+        units = spans.sentences(text)
+        gone = {j for a, e, words in every_run(units) if first[words] != (i, a) for j in range(a, e)}
+        kept[i] = "".join(u for j, u in enumerate(units) if j not in gone)
+    got = {r.doc_id: r.text for r in spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "" and got == kept
+
+
 def test_suffix_arrays():
     rng = random.Random(6)
     for it in range(150):
