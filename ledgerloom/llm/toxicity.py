@@ -153,8 +153,9 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """doc_id, held_out, score, predicted for every row of docs.
 
     Learns from labels (doc_id, toxic) outside fold 0 only, at most sample_rows rows per label:
-    folds 1 and 2 give the learned lexicon, folds 1 to 3 the trees, fold 4 the calibration. Only
-    the text is an input of the score.
+    folds 1 and 2 give the learned lexicon, folds 1 to 3 the trees, fold 4 the calibration. Trees
+    and calibration weigh the rows so that both labels keep their share of all labels. Only the
+    text is an input of the score.
     Labels of unknown documents or null labels are ignored; of several labels of a document the
     highest counts. Null and empty texts have all features 0. If the training rows lack a label,
     every score is that of the only one known, or 0. Repeated rows each get their row; an empty
@@ -164,6 +165,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", fold_of()).filter("fold != 0").withColumn("_h", F.xxhash64(F.lit(SEED), "doc_id"))
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ranked = [known.filter(F.col("toxic") == v).orderBy("_h", "doc_id").limit(sample_rows) for v in (0, 1)]
     sample = stage(ranked[0].unionByName(ranked[1]).drop("_h"), "toxicity-sample")
     # At most 2 * sample_rows ids, a bound by parameter.
@@ -175,18 +177,22 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     train = stage(
         labelled.mapInArrow(_emit_labelled(spark.sparkContext.broadcast(lexicon)), ", ".join(["toxic int", "fold long", *(f"{f} double" for f in FEATURES)])), "toxicity-train"
     )
-    # A bounded sample: few partitions keep the many small passes of the training short.
-    train = train.coalesce(2)
+    # A bounded sample: few partitions keep the many small passes of the training short. Each row
+    # stands for as many labels as the sample left out for it.
+    weights = [max(1.0, totals.get(v, 0) / max(sample_rows, 1)) for v in (0, 1)]
+    train = train.coalesce(2).withColumn("weight", F.when(F.col("toxic") == 1, weights[1]).otherwise(weights[0]))
     seen = {(r["toxic"], r["part"]) for r in train.select("toxic", F.when(F.col("fold") == 4, 1).otherwise(0).alias("part")).distinct().collect()}
     if not {(0, 0), (1, 0)} <= seen:
         only = float(any(v == 1 for v, _ in seen))
         return features.select("doc_id", held_out, F.lit(only).alias("score"), F.lit(int(only)).alias("predicted"))
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=15, maxDepth=4, stepSize=0.2, seed=SEED)
-    model = trees.fit(assemble.transform(train.filter("fold != 4")).select("toxic", "features"))
+    trees = GBTClassifier(labelCol="toxic", featuresCol="features", weightCol="weight", maxIter=15, maxDepth=4, stepSize=0.2, seed=SEED)
+    model = trees.fit(assemble.transform(train.filter("fold != 4")).select("toxic", "features", "weight"))
     rated = lambda df: model.transform(assemble.transform(df)).withColumn("rated", vector_to_array("probability")[1])
     apart = train.filter("fold = 4") if {(0, 1), (1, 1)} <= seen else train
-    isotonic = IsotonicRegression(labelCol="toxic", featuresCol="rated", predictionCol="calibrated").fit(rated(apart).select("toxic", "rated"))
+    isotonic = IsotonicRegression(labelCol="toxic", featuresCol="rated", predictionCol="calibrated", weightCol="weight").fit(
+        rated(apart).select("toxic", "rated", "weight")
+    )
     scored = isotonic.transform(rated(features).select("doc_id", "rated")).select("doc_id", held_out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -65,6 +65,14 @@ def test_toxicity_on_held_out_texts(spark, odd_docs):
     assert toxicity.describe("", {}) == [0.0] * len(toxicity.FEATURES)
 
 
+def test_toxicity_keeps_the_share_of_labels(spark):
+    """Texts that tell nothing are as toxic as the labels are, however few the sample takes."""
+    docs = spark.createDataFrame([(i, " ".join(["grey"] * (5 + i % 3))) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(random.Random(i).random() < 0.2)) for i in range(3000)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels, sample_rows=300).collect()
+    assert sum(r.score for r in got) / len(got) == pytest.approx(0.2, abs=0.08) and not any(r.predicted for r in got)
+
+
 def exact(rows, k):
     out = {}
     for q, v in rows:
