@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import xxhash
@@ -19,32 +19,47 @@ LEAST_WORDS = 25
 LONGEST_SENTENCE = 16
 RUN = "h long, doc_id long, id long, at long"
 
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|$|(?=\n))\s*", re.MULTILINE)
-_WORD = re.compile(r"\S+\s*")
-_PAUSE = (",", ";", ":")
+#: Long sentences are cut before words whose hash is the smallest among so many on either side.
+WINDOW = 3
+#: Scripts written without blanks: every character counts as a word.
+_SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+_SENTENCE = re.compile(r"[^\n]*?(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？｡]+[\"'”’」』）]*|$|(?=\n))\s*", re.MULTILINE)
+_WORD = re.compile(rf"[{_SOLID}]\s*|[^\s{_SOLID}]+\s*")
+
+
+def _n_words(text: str) -> int:
+    return len(text.split()) if text.isascii() else len(_WORD.findall(text))
 
 
 def _pieces(sentence: str) -> Iterator[str]:
-    """A long sentence in pieces: at the first pause after half of LONGEST_SENTENCE words, else after all of them."""
-    piece, words = sentence[: len(sentence) - len(sentence.lstrip())], 0
-    for word in _WORD.findall(sentence):
-        piece += word
-        words += 1
-        if words == LONGEST_SENTENCE or words * 2 >= LONGEST_SENTENCE and word.rstrip().endswith(_PAUSE):
-            yield piece
-            piece, words = "", 0
-    if piece:
-        yield piece
+    """A long sentence in pieces that depend on the words around each cut, not on where the sentence starts.
+
+    Where that leaves more than twice LONGEST_SENTENCE words, as in words that recur at once, the
+    smallest hash of the second half of LONGEST_SENTENCE words is next.
+    """
+    blank = len(sentence) - len(sentence.lstrip())
+    words = _WORD.findall(sentence, blank)
+    hashes = [xxhash.xxh3_64_intdigest(w.strip().lower()) for w in words]
+    cuts = [0]
+    inner = [i for i in range(WINDOW, len(words) - WINDOW) if hashes[i] < min(hashes[i - WINDOW : i]) and hashes[i] <= min(hashes[i + 1 : i + 1 + WINDOW])]
+    for cut in [*inner, len(words)]:
+        while cut - cuts[-1] > 2 * LONGEST_SENTENCE:
+            half, full = cuts[-1] + LONGEST_SENTENCE // 2 + 1, cuts[-1] + LONGEST_SENTENCE
+            cuts.append(min(range(half, full + 1), key=lambda i: (hashes[i], -i)))
+        cuts.append(cut)
+    for first, end in pairwise(cuts):
+        yield sentence[:blank] * (first == 0) + "".join(words[first:end])
 
 
 def sentences(text: str) -> list[str]:
     """Sentences of a text with the white space after them; joined they are the text.
 
-    Line ends and . ! ? … before white space end a sentence; long sentences are cut to pieces.
+    Line ends, . ! ? … before white space and 。！？ end a sentence; long sentences are cut to pieces.
     """
     out: list[str] = []
     for part in _SENTENCE.findall(text):
-        if len(part) > 2 * LONGEST_SENTENCE and len(part.split()) > LONGEST_SENTENCE:
+        if len(part) > LONGEST_SENTENCE and _n_words(part) > LONGEST_SENTENCE:
             out.extend(_pieces(part))
         elif part:
             out.append(part)
@@ -59,7 +74,7 @@ def runs(units: list[str], sentences_: int = SENTENCES, least_words: int = LEAST
     """
     words = [u.lower().split() for u in units]
     texts = [" ".join(w) for w in words]
-    total = [0, *accumulate(map(len, words))]
+    total = [0, *accumulate(map(_n_words, units))]
     found, end, start = set(), 0, 0
     for first in range(len(units)):
         while end < len(units) and (end - first < sentences_ or total[end] - total[first] < least_words):

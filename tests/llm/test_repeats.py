@@ -153,6 +153,29 @@ def test_all_sentences_of_repeated_passages(spark):
     assert got[1] == "" and got == kept
 
 
+def test_passages_inside_long_sentences(spark):
+    """Passages at any offset of unpunctuated lines, and in a script without blanks."""
+    rng = random.Random(10)
+    rows, lost = [], []
+    for i in range(40):
+        passage = [f"p{i}_{rng.randrange(500)}" for _ in range(60)]
+        for j in range(2):
+            before, after = ([f"o{i}_{j}_{rng.randrange(500)}" for _ in range(rng.randint(17, 40))] for _ in range(2))
+            rows.append((2 * i + j, " ".join(before + passage + after)))
+    solid = "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(90))
+    rows += [(100, "".join(chr(0x6E00 + rng.randrange(4000)) for _ in range(23)) + solid), (101, "".join(chr(0x7E00 + rng.randrange(4000)) for _ in range(30)) + solid)]
+    rows += [(102, " ".join(["ha", "ho"] * 100)), (103, "he " + " ".join(["ha", "ho"] * 100))]
+    assert all("".join(spans.sentences(t)) == t for _, t in rows)
+    told = dict(rows)
+    got = {r.doc_id: r.text for r in spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == told[i] for i in range(0, 80, 2))
+    for i in range(1, 80, 2):
+        lost.append(len(told[i].split()) - len(got[i].split()))
+    assert max(lost) <= 60 and sum(n > 0 for n in lost) >= 38 and sum(lost) / len(lost) > 40
+    assert got[100] == told[100] and len(told[101]) - len(got[101]) > 60
+    assert len(got[103].split()) < 60
+
+
 def test_suffix_arrays():
     rng = random.Random(6)
     for it in range(150):
