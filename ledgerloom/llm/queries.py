@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, forest, mixture, near, quality, sharding, spans, suffix, toxicity
+from ledgerloom.llm import bpe, chat, forest, mixture, near, periodic, quality, sharding, spans, spelling, suffix, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), changed=True)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_digests(_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 REGISTERED = {
     "op1_order_minhash": op1_order_minhash,
     "op2_toxicity": op2_toxicity,
@@ -72,4 +84,7 @@ REGISTERED = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_hash_prefix_forest": op9_hash_prefix_forest,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
