@@ -432,10 +432,12 @@ def repeated_spans(
     reach = length - k + 1
     assert 0 < reach < 256
     segs = docs.select("_id", "text").filter(F.octet_length("text") >= length).mapInArrow(_emit_segments(length, k), SEGMENT)
-    often = segs.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
+    segs = stage(segs, "suffix-segments")
+    # Aggregated sides are staged, so that the joins read plain shuffles and a hot anchor can be split.
+    often = stage(segs.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"), "suffix-often")
     members = stage(segs.join(often, "f"), "suffix-members")
-    found = members.groupBy("f", "rid").agg(F.count("*").alias("copies"), F.min(F.struct("id", "at")).alias("rep"))
-    kinds = found.groupBy("f").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("f")
+    found = stage(members.groupBy("f", "rid").agg(F.count("*").alias("copies"), F.min(F.struct("id", "at")).alias("rep")), "suffix-found")
+    kinds = stage(found.groupBy("f").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("f"), "suffix-kinds")
     mixed = found.join(kinds, "f").select("rep.id", F.struct("f", "rid", "copies", "rep.at").alias("w"))
     wanted = mixed.groupBy("id").agg(F.collect_list("w").alias("wanted"))
     regions = docs.select(F.col("_id").alias("id"), "text").join(wanted, "id").select("text", "wanted").mapInArrow(_emit_regions(length, reach), ITEM)
