@@ -31,9 +31,9 @@ CHANGED = 31
 #: Grams are this long; near words differ by one edit, so gram prefixes hold GRAM + 1 grams.
 GRAM = 2
 #: Different words a task counts before it hands them on.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
 #: Keys of one batch of words that are made together.
-KEY_ROWS = 2_000_000
+KEY_ROWS = 200_000
 
 _LETTERS = r"[A-Za-zÀ-ÿ]"
 _BASE = 0x9E3779B97F4A7C15
