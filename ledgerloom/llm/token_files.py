@@ -9,6 +9,7 @@ the documents or token positions it wants.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bpe import byte_letters
 from ledgerloom.llm.common import shared_folder
 
 #: Stands after each document.
@@ -29,13 +31,15 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1_000
 #: Different pieces of text whose ids a task keeps, and bytes of text that are encoded together.
-KEPT_PIECES = 500_000
-GROUP_BYTES = 8_000_000
+KEPT_PIECES = 400_000
+GROUP_BYTES = 4_000_000
 #: part: number of the file; start, stop: tokens of the file before and up to the end of the document.
 TOKENS = "doc_id long, part int, start long, stop long, ids array<int>"
 
 #: Sentence signs at the end of a piece become a piece of their own; letters and signs never share a token.
 _LAST_SIGNS = r"([A-Za-z0-9])([.,;:!?]+)([ \t\n\x0b\x0c\r]|$)"
+#: Pieces that normalise to their lower case and are one word each.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įıĴ-ńŊ-ž]+")
 
 
 class Pieces:
@@ -51,6 +55,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_str(spec_text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.spelling = str.maketrans({chr(b): letter for b, letter in byte_letters().items()})
         self._forget()
 
     def _forget(self) -> None:
@@ -60,7 +65,18 @@ class Pieces:
         self.used = 0
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        # Plain words go to the library's model at once, all else through its whole chain.
+        model, spelling, found, others = self.tokenizer.model, self.spelling, [], []
+        for i, piece in enumerate(pieces):
+            if _WORD.fullmatch(piece):
+                low = piece.lower()
+                spelled = low if low.isascii() else low.encode().decode("latin-1").translate(spelling)
+                found.append([t.id for t in model.tokenize(spelled)])
+            else:
+                found.append(None)
+                others.append(i)
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
+            found[i] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ends = self.used + np.cumsum(sizes)
         known = len(self.number)
