@@ -371,6 +371,11 @@ def sql() -> dict[str, str]:
           case when encoding = 'utf-8-sig' then sha256(file_text) else sha256(unhex(replace(replace(replace(replace(hex(encode(file_text)), 'C3A9', 'E9'), 'C3B3', 'F3'), 'C3AD', 'ED'), 'C3A3', 'E3'))) end as source_file_hash,
           null as issue_code from w"""
     fields = ", ".join(SYNONYMS)
+    out["read_ranges"] = """with r as (select cast(o_custkey % 4 as bigint) as file_no, o_orderkey, c_name, strftime(cast(o_orderdate as date), '%Y-%m-%d') as day,
+            cast(round(o_totalprice * 100) as bigint) as cents, o_orderkey % 10 = 7 as two from orders join customer on o_custkey = c_custkey)
+          select file_no, ',' as delimiter, 'data,descricao,valor' as columns, count(*) over (partition by file_no) as row_count,
+            cast(1 + sum(case when two then 2 else 1 end) over (partition by file_no order by o_orderkey) as int) as row_number, 3 as width,
+            day || '~' || c_name || case when two then chr(10) || '"linha", 2' else '' end || '~' || cents as cells from r"""
     out["suggest_mapping"] = f"with {PROFILES}, {suggestion()} select p_partkey, {fields}, mapping_confidence, array_to_string(missing, ',') as missing_fields from suggested"
     listed = "select p_partkey, detection_status, case when detection_status in ('known', 'learned') then f1 end as format_id, candidates from detected"
     out["detect_formats"] = f"with {detection(SPECS)} {listed}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -26,8 +27,8 @@ from ledgerloom.operators import (
     validate,
 )
 from ledgerloom.plans import classify, correct, ingest
-from ledgerloom.sources import files, formats
-from ledgerloom.sources.store import Store
+from ledgerloom.sources import files, formats, ranges
+from ledgerloom.sources.store import Store, shared_folder, stage_shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -172,6 +173,20 @@ def profile_files(spark, sf_dir):
     )
 
 
+@query
+def read_ranges(spark, sf_dir):
+    """Records of real files that are read by byte ranges, whatever their size."""
+    folder = f"{shared_folder(spark)}/large-{uuid.uuid4().hex}"
+    views.large_files(spark, sf_dir, folder)
+    listing = files.list_files(spark, folder)
+    profiles, records = ranges.profile_ranges(spark, folder, listing, stage_shared)
+    of_file = profiles.select("path", "delimiter", joined("columns").alias("columns"), "row_count")
+    number = F.regexp_extract("path", "file_no=([0-9]+)", 1).cast("bigint")
+    return records.join(of_file, "path").select(
+        number.alias("file_no"), "delimiter", "columns", "row_count", "row_number", F.size("cells").alias("width"), joined("cells", "~").alias("cells")
+    )
+
+
 @query
 def suggest_mapping(spark, sf_dir):
     rows = mapping.suggest_mapping(views.layout_profiles(spark, sf_dir))
@@ -430,10 +445,7 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def import_summary(spark, sf_dir):
-    routed = _routed(spark, sf_dir)
-    counts = reports.import_counts(routed, ["import_id"])
-    issues = reports.issue_counts(routed, ["import_id"])
-    return counts.join(issues, "import_id", "left").select(
+    return reports.import_totals(_routed(spark, sf_dir), ["import_id"]).select(
         "import_id",
         "records_read",
         "transactions_created",

@@ -217,6 +217,22 @@ def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LARGE_FILES = 4
+
+
+def large_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """LARGE_FILES real files with a row per order, in order; every tenth row lies on two lines."""
+    key = F.col("o_orderkey")
+    name = F.when(key % 10 == 7, F.concat(F.lit('"'), "c_name", F.lit('\n""linha"", 2"'))).otherwise(F.col("c_name"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    row = F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), name, cents.cast("string"))
+    rows = orders_with_customer(spark, sf_dir).select((F.col("o_custkey") % LARGE_FILES).alias("file_no"), key.alias("seq"), row.alias("value"))
+    header = spark.range(LARGE_FILES).select(F.col("id").alias("file_no"), F.lit(-1).cast("bigint").alias("seq"), F.lit("data,descricao,valor").alias("value"))
+    lines = rows.withColumns({"file_no": F.col("file_no").cast("bigint"), "seq": F.col("seq").cast("bigint")}).unionByName(header)
+    # One task per file: a file is written in order.
+    lines.repartition(LARGE_FILES, "file_no").sortWithinPartitions("file_no", "seq").select("file_no", "value").write.partitionBy("file_no").text(folder)
+
+
 def layout_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File profiles derived from parts: known layouts with columns lost, renamed, added or turned."""
     wallet = ["data", "hora", "tipo", "origem destino", "valor", "forma de pagamento"]

@@ -1,7 +1,9 @@
 """Apply a log of change rows to the category and rule dimensions.
 
-``seq`` grows over all changes ever applied. Creating what exists returns the existing row; later
-switches win over earlier ones; a switch for an id that does not exist yet is reported and ignored.
+``seq`` (from 0 to SEQS - 1) orders the changes of one batch; a logical clock, the batch's place
+among all commits, comes before it, so the numbers may start anew in each batch. Creating what
+exists returns the existing row; later switches win over earlier ones; a switch for an id that does
+not exist yet is reported and ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +18,22 @@ from ledgerloom.functions.text import normalize_text, strip
 from ledgerloom.operators.skew import lookup_dimension
 
 
-def _switches(changes: DataFrame, table: DataFrame, on: str, off: str) -> DataFrame:
+#: Changes one batch can number.
+SEQS = 1 << 40
+
+
+def moment(clock: int, seq: Column | str = "seq") -> Column:
+    """Place of a change among those of all batches."""
+    return F.lit(clock * SEQS).cast("bigint") + (F.col(seq) if isinstance(seq, str) else seq)
+
+
+def _switches(changes: DataFrame, table: DataFrame, on: str, off: str, clock: int) -> DataFrame:
     """On/off changes with ``applied``: the id existed when the switch came."""
     wanted = changes.where(F.col("action").isin(on, off)).select(
         "seq", "action", "id", (F.col("action") == on).alias("flag")
     )
     return lookup_dimension(wanted, table.select("id", "created_seq"), ["id"], ["seq"]).withColumn(
-        "applied", F.coalesce(F.col("seq") > F.col("created_seq"), F.lit(False))
+        "applied", F.coalesce(moment(clock) > F.col("created_seq"), F.lit(False))
     )
 
 
@@ -37,8 +48,8 @@ def category_error(name: Column) -> Column:
     )
 
 
-def apply_category_changes(categories: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(categories afterwards, results). ``changes``: seq, action, name, id.
+def apply_category_changes(categories: DataFrame, changes: DataFrame, clock: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(categories afterwards, results). ``changes``: seq, action, name, id; ``clock`` grows per batch.
 
     Actions: create (by name), activate, deactivate (by id).
     """
@@ -50,7 +61,7 @@ def apply_category_changes(categories: DataFrame, changes: DataFrame) -> tuple[D
     created = (
         create.where("error_code is null")
         .groupBy("normalized_name")
-        .agg(F.min_by(strip(F.col("name")), "seq").alias("name"), F.min("seq").alias("created_seq"))
+        .agg(F.min_by(strip(F.col("name")), "seq").alias("name"), moment(clock, F.min("seq")).alias("created_seq"))
         .join(categories.select("normalized_name"), "normalized_name", "left_anti")
         .select(
             keys.name_uuid(F.concat(F.lit("category:"), "normalized_name")).alias("id"),
@@ -61,7 +72,7 @@ def apply_category_changes(categories: DataFrame, changes: DataFrame) -> tuple[D
         )
     )
     table = categories.select(*schemas.CATEGORY_FIELDS).unionByName(created)
-    switches = _switches(changes, table, "activate", "deactivate")
+    switches = _switches(changes, table, "activate", "deactivate", clock)
     after = (
         table.join(_latest_flag(switches), "id", "left")
         .withColumn("is_active", F.coalesce("_flag", "is_active"))
@@ -84,7 +95,7 @@ def normalize_rules(rules: DataFrame) -> DataFrame:
 
 
 def apply_rule_changes(
-    rules: DataFrame, changes: DataFrame, categories: DataFrame
+    rules: DataFrame, changes: DataFrame, categories: DataFrame, clock: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """(rules afterwards, results). Actions: create, enable, disable.
 
@@ -109,7 +120,7 @@ def apply_rule_changes(
     described = ["name", "priority", "nature", "category_id", *keys.RULE_CRITERIA, "created_by_user"]
     created = (
         valid.groupBy("rule_fingerprint")
-        .agg(F.min_by(F.struct(*described), "seq").alias("r"), F.min("seq").alias("created_seq"))
+        .agg(F.min_by(F.struct(*described), "seq").alias("r"), moment(clock, F.min("seq")).alias("created_seq"))
         .join(rules.select("rule_fingerprint"), "rule_fingerprint", "left_anti")
         .select(
             keys.name_uuid(F.concat(F.lit("rule:"), "rule_fingerprint")).alias("id"),
@@ -128,7 +139,7 @@ def apply_rule_changes(
         ["rule_fingerprint"],
         ["seq"],
     )
-    switches = _switches(changes, table, "enable", "disable").select(
+    switches = _switches(changes, table, "enable", "disable", clock).select(
         "seq", "action", "id", "flag", "applied"
     )
     revived = made.where("error_code is null").select(

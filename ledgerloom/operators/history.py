@@ -16,7 +16,6 @@ def decision_history(
     dated = neighbours(
         decisions,
         "transaction_id",
-        "decided_at",
         ["decided_at", "seq", "id"],
         ["decided_at"],
         following=True,

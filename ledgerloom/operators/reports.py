@@ -37,32 +37,34 @@ def row_issue_codes() -> Column:
     )
 
 
-def issue_counts(routed: DataFrame, keys: list[str]) -> DataFrame:
-    """keys -> issue_counts map, counted map-side; at most one entry per code."""
-    return (
-        routed.select(*keys, F.explode(row_issue_codes()).alias("code"))
-        .groupBy(*keys, "code")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "n")))).alias("issue_counts"))
-    )
+_ROUTE_COUNTS = {
+    "transactions_created": "transaction",
+    "pending_created": "pending",
+    "duplicates_found": "duplicate",
+    "records_rejected": "rejected",
+}
+
 
+def import_totals(routed: DataFrame, keys: list[str]) -> DataFrame:
+    """Balanced counts and the issue_counts map (null without issues) per import, in one pass.
 
-def import_counts(routed: DataFrame, keys: list[str]) -> DataFrame:
-    """Balanced counts per import; ``balanced`` must be true for every row."""
-    counts = {
-        "transactions_created": "transaction",
-        "pending_created": "pending",
-        "duplicates_found": "duplicate",
-        "records_rejected": "rejected",
-    }
-    summed = routed.groupBy(*keys).agg(
+    Each row counts once under no code and once under each of its codes, so one aggregation over
+    (keys, code) has both; ``balanced`` must be true for every row.
+    """
+    coded = routed.select(*keys, "route", row_issue_codes().alias("codes"))
+    own = F.array(F.lit(None).cast("string"))
+    marked = coded.select(*keys, "route", (F.size("codes") > 0).alias("has"), F.explode(F.concat(own, "codes")).alias("code"))
+    each = marked.groupBy(*keys, "code").agg(
         F.count(F.lit(1)).alias("records_read"),
-        *[F.count_if(F.col("route") == value).alias(name) for name, value in counts.items()],
-        F.count_if(F.size(row_issue_codes()) > 0).alias("rows_with_issues"),
+        *[F.count_if(F.col("route") == value).alias(name) for name, value in _ROUTE_COUNTS.items()],
+        F.count_if("has").alias("rows_with_issues"),
     )
-    total = reduce(lambda a, b: a + b, [F.col(name) for name in counts])
-    return summed.withColumn("balanced", total == F.col("records_read"))
+    names = ["records_read", *_ROUTE_COUNTS, "rows_with_issues"]
+    entries = F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", F.col("records_read").alias("n"))))
+    summed = each.groupBy(*keys).agg(*[F.max(F.when(F.col("code").isNull(), F.col(c))).alias(c) for c in names], entries.alias("entries"))
+    total = reduce(lambda a, b: a + b, [F.col(name) for name in _ROUTE_COUNTS])
+    issues = F.when(F.size("entries") > 0, F.map_from_entries(F.sort_array("entries")))
+    return summed.withColumn("balanced", total == F.col("records_read")).withColumn("issue_counts", issues).drop("entries")
 
 
 def completion_status(has_issues: Column) -> Column:

@@ -7,22 +7,25 @@ the first and shows the reason and candidates of the last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys
 from ledgerloom.operators.runs import running_count
-from ledgerloom.operators.skew import HOT_ROWS_MIN
+from ledgerloom.operators.skew import HOT_ROWS_MIN, hot_keys, lookup
 
 ORDER = ["event_at", "seq"]
 
 
+def _review_id() -> Column:
+    return keys.name_uuid(F.concat_ws(":", F.lit("review"), "transaction_id", F.col("episode").cast("string")))
+
+
 def reviews(events: DataFrame, hot_rows_min: int = HOT_ROWS_MIN) -> DataFrame:
     """Every review, open or resolved, one row per (transaction, episode)."""
     numbered = running_count(
         events,
         "transaction_id",
-        "event_at",
         ORDER,
         F.col("event") == "resolved",
         "episode",
@@ -40,9 +43,8 @@ def reviews(events: DataFrame, hot_rows_min: int = HOT_ROWS_MIN) -> DataFrame:
         )
         .where("first is not null")
     )
-    identity = F.concat_ws(":", F.lit("review"), "transaction_id", F.col("episode").cast("string"))
     return grouped.select(
-        keys.name_uuid(identity).alias("id"),
+        _review_id().alias("id"),
         "transaction_id",
         F.when(F.col("resolved_at").isNull(), F.lit("open")).otherwise(F.lit("resolved")).alias("status"),
         F.col("last.reason").alias("reason"),
@@ -56,7 +58,28 @@ def reviews(events: DataFrame, hot_rows_min: int = HOT_ROWS_MIN) -> DataFrame:
 
 
 def open_reviews(events: DataFrame, hot_rows_min: int = HOT_ROWS_MIN) -> DataFrame:
-    return reviews(events, hot_rows_min).where("status = 'open'").drop("status", "resolved_at", "episode")
+    """The reviews that are open: what was opened after the last resolution, without the episodes before.
+
+    The last resolution of each transaction is a map-side combined maximum; no history is sorted.
+    """
+    at = F.struct(*ORDER)
+    closed = events.where("event = 'resolved'").groupBy("transaction_id").agg(F.count(F.lit(1)).alias("episode"), F.max(at).alias("closed_at"))
+    opened = events.where("event = 'opened'")
+    counts = opened.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("_n"))
+    dated = lookup(opened, closed, ["transaction_id"], ["seq"], hot_keys(counts, ["transaction_id"], "_n", hot_rows_min))
+    later = dated.where(F.col("closed_at").isNull() | (at > F.col("closed_at")))
+    grouped = later.groupBy("transaction_id").agg(
+        F.coalesce(F.max("episode"), F.lit(0)).cast("bigint").alias("episode"),
+        F.min(at).alias("first"),
+        F.max_by(F.struct("reason", "candidate_rule_ids"), at).alias("last"),
+    )
+    return grouped.select(
+        _review_id().alias("id"),
+        "transaction_id",
+        F.col("last.reason").alias("reason"),
+        F.array_sort(F.coalesce("last.candidate_rule_ids", F.array().cast("array<string>"))).alias("candidate_rule_ids"),
+        F.col("first.event_at").alias("created_at"),
+    )
 
 
 def request_reviews(transactions: DataFrame, requests: DataFrame) -> DataFrame:

@@ -101,59 +101,46 @@ def rule_key(columns: list[str], mask: int | None = None) -> Column:
 def propose(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     """One proposal per transaction: classified, or pending review with a reason.
 
-    Rules are grouped by which criteria they set (at most 31 groups), so each group is
-    one equality lookup that adds at most one row per transaction. No pair of
-    transaction and rule is ever materialised and transactions are not regrouped.
+    Transactions are first reduced to the different tuples of the values that rules compare. Each
+    tuple asks once for every set of criteria that rules use (at most 31), by one equality join
+    with the best rules per key, whatever the number of sets; what is decided for a tuple then
+    goes back to its transactions. No pair of transaction and rule is ever materialised.
     """
-    # Stored once: every group of rules reads its part.
     best = stage_shared(best_rules_by_key(rules), "best-rules")
-    # At most 31 rows come back, whatever the number of rules; their counts also tell
-    # which groups are small enough to broadcast.
+    # At most 31 rows come back, whatever the number of rules.
     sizes = {row["mask"]: row["count"] for row in best.groupBy("mask").count().collect()}
-    compared = transactions
-    for name, column in MATCHED_COLUMNS.items():
-        compared = compared.withColumn(f"_{name}", normalize_text(F.col(column)))
-    facts, hits = compared, []
+    compared = [f"_{name}" for name in RULE_CRITERIA]
+    facts = transactions.withColumns({f"_{name}": normalize_text(F.col(column)) for name, column in MATCHED_COLUMNS.items()})
+    facts = facts.withColumn("_tuple", rule_key(compared))
+    tuples = stage_shared(facts.groupBy("_tuple", *compared).agg(F.count(F.lit(1)).alias("_n")), "rule-tuples")
+    asked = []
     for mask in sorted(sizes):
         used = [f"_{name}" for bit, name in enumerate(RULE_CRITERIA) if mask >> bit & 1]
         complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in used])
-        key = F.when(complete, rule_key([f"_{n}" for n in RULE_CRITERIA], mask))
-        side = best.where(F.col("mask") == mask).select(
-            F.col("rule_key").alias("_key"),
-            F.struct("priority", "rule_ids", "outcomes").alias(f"_hit{mask}"),
-        )
-        keyed = compared.withColumn("_key", key)
-        if sizes[mask] <= BROADCAST_ROWS_MAX:
-            matched = keyed.join(F.broadcast(side), "_key", "left")
-        else:
-            # Hot keys are counted on the facts alone, so the plan grows by one join per group.
-            counts = facts.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-            matched = lookup(keyed, side, ["_key"], ["id"], hot_keys(counts, ["_key"], "_n"))
-        compared = matched.drop("_key")
-        hits.append(F.col(f"_hit{mask}"))
-    none = F.array().cast(
-        "array<struct<priority:int,rule_ids:array<string>,outcomes:array<struct<nature:string,category_id:string>>>>"
-    )
-    found = F.array_compact(F.array(*hits)) if hits else none
-    top = F.array_max(F.transform("_found", lambda h: h["priority"]))
-    winning = F.filter("_found", lambda h: h["priority"] == F.col("_top"))
-    resolved = (
-        compared.withColumn("_found", found)
-        .withColumn("_top", top)
-        .withColumn("_winning", winning)
-        .withColumn("matched_rule_ids", F.array_sort(F.flatten(F.transform("_winning", lambda h: h["rule_ids"]))))
-        .withColumn("_outcomes", F.array_distinct(F.flatten(F.transform("_winning", lambda h: h["outcomes"]))))
+        asked.append(F.when(complete, F.struct(F.lit(mask).alias("mask"), rule_key(compared, mask).alias("rule_key"))))
+    questions = F.array_compact(F.array(*asked)) if asked else F.array().cast("array<struct<mask:int,rule_key:string>>")
+    each = tuples.select("_tuple", F.explode(questions).alias("q")).select("_tuple", "q.mask", "q.rule_key")
+    hits = each.join(F.broadcast(best) if sum(sizes.values()) <= BROADCAST_ROWS_MAX else best, ["mask", "rule_key"])
+    # At most one hit per set of criteria.
+    found = hits.groupBy("_tuple").agg(F.collect_list(F.struct("priority", "rule_ids", "outcomes")).alias("found"))
+    top = F.array_max(F.transform("found", lambda h: h["priority"]))
+    won = found.withColumn("top", top).select("_tuple", F.filter("found", lambda h: h["priority"] == F.col("top")).alias("won"))
+    decided = won.select(
+        "_tuple",
+        F.array_sort(F.flatten(F.transform("won", lambda h: h["rule_ids"]))).alias("_rule_ids"),
+        F.array_distinct(F.flatten(F.transform("won", lambda h: h["outcomes"]))).alias("_outcomes"),
     )
-    agreed = F.size("_outcomes") == 1
+    resolved = lookup(facts, stage_shared(decided, "rule-decisions"), ["_tuple"], ["id"], hot_keys(tuples, ["_tuple"], "_n"))
+    agreed = F.coalesce(F.size("_outcomes") == 1, F.lit(False))
     outcome = F.when(agreed, F.get("_outcomes", F.lit(0)))
     return resolved.select(
         *transactions.columns,
         F.when(agreed, F.lit("classified")).otherwise(F.lit("pending_review")).alias("status"),
         outcome["nature"].alias("nature"),
         outcome["category_id"].alias("proposed_category_id"),
-        F.when(agreed, F.get("matched_rule_ids", F.lit(0))).alias("winning_rule_id"),
-        "matched_rule_ids",
-        F.when(F.size("_outcomes") == 0, F.lit("no_matching_rule"))
+        F.when(agreed, F.get("_rule_ids", F.lit(0))).alias("winning_rule_id"),
+        F.coalesce("_rule_ids", F.array().cast("array<string>")).alias("matched_rule_ids"),
+        F.when(F.col("_outcomes").isNull(), F.lit("no_matching_rule"))
         .when(~agreed, F.lit("priority_conflict"))
         .alias("review_reason"),
     )

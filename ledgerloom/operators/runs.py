@@ -1,8 +1,8 @@
 """Ordered neighbours and running counts per key, safe for very long histories.
 
-A plain window sends a whole key to one task. Here the keys that are hot are cut
-into hourly runs: the window works per (key, run), and only one summary row per run
-crosses run borders, at most one per hour of history.
+A plain window sends a whole key to one task. Here the rows of hot keys are sorted across
+tasks by key and order and cut into runs of about RUN_ROWS rows, wherever they lie in time:
+the window works per (key, run), and only one summary row per run crosses run borders.
 """
 
 from __future__ import annotations
@@ -10,15 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.skew import HOT_ROWS_MIN, hot_keys
+from ledgerloom.operators.skew import HOT_ROWS_MIN, hot_keys, is_small
+from ledgerloom.sources.store import stage_shared
 
+RUN_ROWS = 1_000_000
 
-def _cut(frame: DataFrame, key: str, at: str, hot_rows_min: int) -> DataFrame:
+
+def _cut(frame: DataFrame, key: str, order: list[str], hot_rows_min: int) -> DataFrame:
+    """Adds _hot and _run: null for ordinary keys, else the range of (key, order) the row is in."""
     counts = frame.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_keys(counts, [key], "_n", hot_rows_min).withColumn("_hot", F.lit(True))
-    return frame.join(F.broadcast(hot), key, "left").withColumn(
-        "_run", F.when(F.col("_hot"), F.date_trunc("hour", at))
-    )
+    hot = hot_keys(counts, [key], "_n", hot_rows_min)
+    unmarked = {"_hot": F.lit(None).cast("boolean"), "_run": F.lit(None).cast("int")}
+    if is_small(hot, 0):
+        return frame.withColumns(unmarked)
+    marked = F.broadcast(hot)
+    rows = frame.join(marked, key, "left_semi")
+    runs = -(-rows.count() // RUN_ROWS)
+    ranges = rows.repartitionByRange(runs, key, *order).withColumn("_hot", F.lit(True)).withColumn("_run", F.spark_partition_id())
+    # Stored, as the sample that sets the ranges may differ from one reading to the next.
+    return frame.join(marked, key, "left_anti").withColumns(unmarked).unionByName(stage_shared(ranges, "runs"))
 
 
 def _in_run(key: str, order: list[str]) -> Window:
@@ -28,7 +38,7 @@ def _in_run(key: str, order: list[str]) -> Window:
 def _with_summary(cut: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     """Join one summary row per run back; ordinary keys have no run and no summary.
 
-    Runs are at most an hour of one key; rows of ordinary keys are spread by key.
+    Runs are about RUN_ROWS rows of one key; rows of ordinary keys are spread by key.
     """
     return cut.join(
         summary.withColumnRenamed(key, "_k").withColumnRenamed("_run", "_r"),
@@ -40,7 +50,6 @@ def _with_summary(cut: DataFrame, summary: DataFrame, key: str) -> DataFrame:
 def neighbours(
     frame: DataFrame,
     key: str,
-    at: str,
     order: list[str],
     values: list[str],
     following: bool,
@@ -48,9 +57,9 @@ def neighbours(
 ) -> DataFrame:
     """Adds next_<value> (or previous_<value>) of the adjacent row with the same key.
 
-    ``order`` must be total and start with the timestamp ``at``.
+    ``order`` must be total.
     """
-    cut = _cut(frame, key, at, hot_rows_min)
+    cut = _cut(frame, key, order, hot_rows_min)
     prefix = "next" if following else "previous"
     packed = F.struct(*values)
     within = _in_run(key, order)
@@ -70,14 +79,13 @@ def neighbours(
 def running_count(
     frame: DataFrame,
     key: str,
-    at: str,
     order: list[str],
     counted: Column,
     name: str,
     hot_rows_min: int = HOT_ROWS_MIN,
 ) -> DataFrame:
     """Adds ``name``: how many strictly earlier rows of the key satisfy ``counted``."""
-    cut = _cut(frame, key, at, hot_rows_min).withColumn("_one", F.when(counted, 1).otherwise(0))
+    cut = _cut(frame, key, order, hot_rows_min).withColumn("_one", F.when(counted, 1).otherwise(0))
     before = _in_run(key, order).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.where("_hot").groupBy(key, "_run").agg(F.sum("_one").alias("_total"))
     earlier_runs = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)

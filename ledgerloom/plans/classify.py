@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys
+from ledgerloom.operators import quarantine
 from ledgerloom.operators.history import current_decisions
 from ledgerloom.operators.reports import list_undecided, run_summary
 from ledgerloom.operators.rules import propose, undecided, usable_rules
@@ -81,8 +82,10 @@ def classify_batch(
         "proposals",
     )
     order, instant = F.lit(seq), F.lit(as_of).cast("timestamp")
-    store.write("classification_decisions", decisions_from(proposals, instant, order), batch_id)
+    made = store.stage(quarantine.decisions(decisions_from(proposals, instant, order)), batch_id, "decisions")
+    store.write("classification_decisions", quarantine.kept(made), batch_id)
+    store.write("quarantine", quarantine.held(made, "classification_decisions"), batch_id)
     store.write("review_events", review_events_from(proposals, instant, order), batch_id)
     store.keep(run_summary(proposals, current_decisions(decisions)), batch_id, "summary")
-    store.commit(batch_id, ["classification_decisions", "review_events"], f"{seq}-{limit}")
+    store.commit(batch_id, ["classification_decisions", "review_events", "quarantine"], f"{seq}-{limit}")
     return store.kept(batch_id, "summary")

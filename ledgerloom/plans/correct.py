@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 from ledgerloom.functions import keys
 from ledgerloom.functions.text import normalize_text
+from ledgerloom.operators import quarantine
 from ledgerloom.operators.changes import apply_rule_changes
 from ledgerloom.operators.history import current_decisions
 from ledgerloom.operators.runs import neighbours
 from ledgerloom.operators.skew import HOT_ROWS_MIN, hot_keys, lookup, lookup_dimension
+from ledgerloom.plans.maintain import content_of
 from ledgerloom.sources.store import Store
 
 REMEMBERED_NAME = "Remembered by user"
@@ -69,9 +71,11 @@ def correct_classifications(
     rules: DataFrame,
     decisions: DataFrame,
     hot_rows_min: int = HOT_ROWS_MIN,
+    clock: int = 0,
 ) -> Corrections:
     """Apply a batch of requests: seq, transaction_id, nature, category_name, remember,
-    rule_priority, requested_at. ``seq`` is unique and grows with time.
+    rule_priority, requested_at. ``seq`` is unique and grows with time; ``clock`` places the
+    rules made here among those of other batches.
     """
     checked = check_requests(requests, transactions, categories, hot_rows_min)
     accepted = checked.where("error_code is null").withColumn(
@@ -93,7 +97,7 @@ def correct_classifications(
         absent.alias("card_alias"),
         F.lit(True).alias("created_by_user"),
     )
-    rules_after, remembered = apply_rule_changes(rules, wanted, categories)
+    rules_after, remembered = apply_rule_changes(rules, wanted, categories, clock)
     new_decisions = accepted.select(
         F.col("decision_id").alias("id"),
         "transaction_id",
@@ -116,7 +120,6 @@ def correct_classifications(
     linked = neighbours(
         both,
         "transaction_id",
-        "decided_at",
         ["decided_at", "seq", "id"],
         ["id"],
         following=False,
@@ -150,9 +153,7 @@ def correct_batch(store: Store, requests: DataFrame, batch_id: str) -> DataFrame
     BatchConflict if not. Everything is worked out before the first table is written.
     """
     asked = store.stage(requests, batch_id, "requests")
-    mark = F.xxhash64(*asked.columns).cast("decimal(38,0)")
-    found = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(mark), F.lit(0)).alias("mark")).first()
-    content = f"{found.n}-{found.mark}"
+    content = content_of([asked])
     if store.committed(batch_id, content):
         store.clear(batch_id)
         return store.kept(batch_id, "errors")
@@ -162,10 +163,13 @@ def correct_batch(store: Store, requests: DataFrame, batch_id: str) -> DataFrame
         store.snapshot("categories"),
         store.snapshot("classification_rules"),
         store.read("classification_decisions"),
+        clock=store.clock(),
     )
+    made = store.stage(quarantine.decisions(result.decisions), batch_id, "checked-decisions")
     tables = {
         "classification_rules": result.rules,
-        "classification_decisions": result.decisions,
+        "classification_decisions": quarantine.kept(made),
+        "quarantine": quarantine.held(made, "classification_decisions"),
         "classification_corrections": result.corrections,
         "review_events": result.review_events,
     }

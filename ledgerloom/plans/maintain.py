@@ -11,7 +11,7 @@ from ledgerloom.operators.reviews import request_reviews
 from ledgerloom.sources.store import Store
 
 
-def _content(frames: list[DataFrame]) -> str:
+def content_of(frames: list[DataFrame]) -> str:
     """Identity of change rows, in any order."""
     parts = []
     for frame in frames:
@@ -30,13 +30,14 @@ def change_dimensions(store: Store, category_changes: DataFrame, rule_changes: D
     """
     first = store.stage(category_changes, batch_id, "category-changes")
     second = store.stage(rule_changes, batch_id, "rule-changes")
-    content = _content([first, second])
+    content = content_of([first, second])
     if store.committed(batch_id, content):
         store.clear(batch_id)
         return store.kept(batch_id, "results")
-    categories, category_results = apply_category_changes(store.snapshot("categories"), first)
+    clock = store.clock()
+    categories, category_results = apply_category_changes(store.snapshot("categories"), first, clock)
     categories = store.stage(categories, batch_id, "categories")
-    rules, rule_results = apply_rule_changes(store.snapshot("classification_rules"), second, categories)
+    rules, rule_results = apply_rule_changes(store.snapshot("classification_rules"), second, categories, clock)
     rules = store.stage(rules, batch_id, "rules")
     columns = ["seq", "action", "id", "applied", "error_code"]
     results = category_results.select(F.lit("category").alias("kind"), *columns).unionByName(
@@ -52,7 +53,7 @@ def change_dimensions(store: Store, category_changes: DataFrame, rule_changes: D
 def request_review_batch(store: Store, requests: DataFrame, batch_id: str) -> None:
     """Open reviews for the requested transactions (transaction_id, event_at, seq) that are stored."""
     asked = store.stage(requests, batch_id, "requests")
-    content = _content([asked])
+    content = content_of([asked])
     if store.committed(batch_id, content):
         store.clear(batch_id)
         return

@@ -152,6 +152,25 @@ IMPORT_RUN_FIELDS = {
     "created_at": "timestamp",
 }
 
+# Rows that break a constraint of the table they were meant for.
+QUARANTINE_FIELDS = {
+    "target": "string",
+    "row_id": "string",
+    "import_id": "string",
+    "violations": "array<string>",
+    "row": "string",
+}
+
+# What became of each acceptable file of a batch; import_id is the import that holds its rows.
+MANIFEST_FIELDS = {
+    "path": "string",
+    "modification_time": "timestamp",
+    "length": "bigint",
+    "source_file_hash": "string",
+    "import_id": "string",
+    "persistence_status": "string",
+}
+
 # Allowed words of the enumerated columns.
 DIRECTIONS = ["inflow", "outflow"]
 PAYMENT_METHODS = [

@@ -1,20 +1,23 @@
 """Statement files: scan, decode, split into records, and profile.
 
-Everything about one file is computed inside its own row, so profiling needs no
-shuffle and never moves file bytes between tasks. One file is one value of a row,
-which holds 2 GB at most; larger files are refused and logged.
+Everything about a file of ordinary size is computed inside its own row, so profiling
+needs no shuffle and never moves file bytes between tasks. Files over SPLIT_BYTES are
+cut into byte ranges by :mod:`ledgerloom.sources.ranges`.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys
 from ledgerloom.functions.text import let, normalize_column_name, strip
 
-# The largest file one row can hold; callers may set a lower limit.
-MAX_FILE_BYTES = 2**31 - 1 - 2**20
+# Larger files are read by ranges. Their content hash is another one, so a changed limit makes
+# earlier imports of the files between the two limits unknown.
+SPLIT_BYTES = 32 << 20
 # Records looked at first for a header; the others only if none of these qualifies.
 HEADER_FIRST_RECORDS = 30
 DELIMITERS = [",", ";", "\t", "|"]
@@ -47,8 +50,8 @@ HEADER_WORDS = [
 
 # Bytes 0x80-0x9F as Latin-1 characters, and what Windows-1252 means by them.
 _C1 = "".join(chr(code) for code in range(0x80, 0xA0))
-_UNDEFINED_1252 = "\x81\x8d\x8f\x90\x9d"
-_C1_DEFINED = "".join(char for char in _C1 if char not in _UNDEFINED_1252)
+UNDEFINED_1252 = "\x81\x8d\x8f\x90\x9d"
+_C1_DEFINED = "".join(char for char in _C1 if char not in UNDEFINED_1252)
 _CP1252 = _C1_DEFINED.encode("latin-1").decode("cp1252")
 
 # A quoted run opens only at the start of a cell; possessive, so long cells do
@@ -66,12 +69,17 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", "modificationTime", "length")
+        .select("path", "modificationTime", "length", F.col("_metadata.file_path").alias("uri"))
     )
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Content of acceptable files. Suffix and size are applied before any read."""
+def escaped_path(path: str) -> str:
+    """A path as a pattern that only matches itself."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def read_files(spark: SparkSession, path: str | list[str], max_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Content of acceptable files of at most ``max_bytes``. Suffix and size are applied before any read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -87,11 +95,12 @@ def suffix_is_supported(path: Column) -> Column:
 
 
 def refused_files(
-    listing: DataFrame, requested: DataFrame | None = None, max_bytes: int = MAX_FILE_BYTES
+    listing: DataFrame, requested: DataFrame | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """Files that are not opened: wrong suffix, too large, or (if asked for) absent."""
+    """Files that are not opened: wrong suffix, over a limit if there is one, or (if asked for) absent."""
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     code = F.when(~suffix_is_supported(F.col("path")), F.lit("unsupported_file_type")).when(
-        F.col("length") > max_bytes, F.lit("file_too_large")
+        too_large, F.lit("file_too_large")
     )
     refused = listing.select("path", "length", code.alias("issue_code")).where("issue_code is not null")
     if requested is None:
@@ -113,7 +122,7 @@ def decode_files(files: DataFrame) -> DataFrame:
     out = files.withColumn("source_file_hash", F.sha2("content", 256)).withColumn(
         "encoding",
         F.when(F.is_valid_utf8(as_utf8), F.when(~as_utf8.contains("\x00"), F.lit("utf-8-sig"))).when(
-            ~as_latin.rlike(f"[\x00{_UNDEFINED_1252}]"), F.lit("cp1252")
+            ~as_latin.rlike(f"[\x00{UNDEFINED_1252}]"), F.lit("cp1252")
         ),
     )
     text = F.when(F.col("encoding") == "utf-8-sig", F.regexp_replace(as_utf8, "^\ufeff", "")).when(
@@ -207,7 +216,7 @@ def last_line_numbers(records: Column) -> Column:
     return F.when(F.size(records) == 0, F.array().cast("array<int>")).when(multiline, marked).otherwise(plain)
 
 
-def _header_score(names: Column) -> Column:
+def header_score(names: Column) -> Column:
     known = F.array(*[F.lit(word) for word in HEADER_WORDS])
     part = "|".join(word for word in HEADER_WORDS if len(word) >= 4)
     return F.aggregate(
@@ -229,6 +238,31 @@ def is_blank_record(cells: Column) -> Column:
     return ~F.exists(cells, lambda cell: strip(cell) != "")
 
 
+def signature(columns: Column, delimiter: Column) -> Column:
+    """Identity of a layout."""
+    shown_delimiter = F.when(delimiter == "\t", F.lit("\\t")).otherwise(delimiter)
+    return F.sha2(
+        F.concat(
+            F.lit('{"columns": ["'),
+            F.array_join(columns, '", "'),
+            F.lit('"], "delimiter": "'),
+            shown_delimiter,
+            F.lit('"}'),
+        ),
+        256,
+    )
+
+
+def profile_issue(header_at: Column) -> Column:
+    """Why a file (encoding, delimiter, columns) can't be read; null for a usable one."""
+    usable = F.exists("columns", lambda name: name != "")
+    return (
+        F.when(F.col("encoding").isNull(), F.lit("unreadable_file"))
+        .when(F.col("delimiter").isNull(), F.lit("unknown_format"))
+        .when(header_at.isNull() | ~usable, F.lit("missing_minimum_column"))
+    )
+
+
 def profile_files(files: DataFrame) -> DataFrame:
     """One row per file: layout, counts, signature, and the records for extraction.
 
@@ -247,7 +281,7 @@ def profile_files(files: DataFrame) -> DataFrame:
     def best_header(cells: Column, offset: int) -> Column:
         """struct(score, -position) of the best-scoring record; earlier ones win ties."""
         return F.array_max(
-            F.transform(cells, lambda c, i: F.struct(_header_score(_named(c)).alias("score"), (-i - offset).alias("at")))
+            F.transform(cells, lambda c, i: F.struct(header_score(_named(c)).alias("score"), (-i - offset).alias("at")))
         )
 
     def first_wide_record(cells: Column, offset: int) -> Column:
@@ -289,23 +323,6 @@ def profile_files(files: DataFrame) -> DataFrame:
         )
     )
     width = F.size("columns")
-    usable = F.exists("columns", lambda name: name != "")
-    code = (
-        F.when(F.col("encoding").isNull(), F.lit("unreadable_file"))
-        .when(F.col("delimiter").isNull(), F.lit("unknown_format"))
-        .when(F.col("header_at").isNull() | ~usable, F.lit("missing_minimum_column"))
-    )
-    shown_delimiter = F.when(F.col("delimiter") == "\t", F.lit("\\t")).otherwise(F.col("delimiter"))
-    signature = F.sha2(
-        F.concat(
-            F.lit('{"columns": ["'),
-            F.array_join("columns", '", "'),
-            F.lit('"], "delimiter": "'),
-            shown_delimiter,
-            F.lit('"}'),
-        ),
-        256,
-    )
     kept = [c for c in files.columns if c != "content"]
     return located.select(
         *kept,
@@ -319,8 +336,8 @@ def profile_files(files: DataFrame) -> DataFrame:
         F.size(F.filter("records", lambda r: F.size(r["cells"]) != width))
         .cast("bigint")
         .alias("irregular_row_count"),
-        signature.alias("signature"),
-        code.alias("issue_code"),
+        signature(F.col("columns"), F.col("delimiter")).alias("signature"),
+        profile_issue(F.col("header_at")).alias("issue_code"),
         "records",
     )
 

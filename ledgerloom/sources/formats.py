@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.functions.text import slug, strip
+from ledgerloom.sources.store import stage_shared
 
 SIGNED_TEXT, CREDIT_DEBIT, CONFIGURABLE = "picpay_csv", "bradesco_csv", "generic_csv"
 
@@ -73,6 +74,20 @@ def all_specs(spark: SparkSession, learned: DataFrame | None = None) -> DataFram
     )
 
 
+def write_registry(specs: DataFrame, path: str) -> None:
+    """Learned specs as JSON, one per line, for other stores to read."""
+    specs.where("learned").select(*schemas.SPEC_FIELDS).write.json(path)
+
+
+def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """(specs, whether all of it could be read). Lines that are no spec are left out and make it unreadable."""
+    fields = schemas.ddl({**schemas.SPEC_FIELDS, "_corrupt": "string"})
+    lines = spark.read.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    fit = F.col("_corrupt").isNull() & F.col("format_id").isNotNull() & (F.size("expected_columns") > 0) & F.col("delimiter").isNotNull() & mapping_is_complete(F.col("mapping"))
+    checked = stage_shared(lines.withColumn("_fit", F.coalesce(fit, F.lit(False))), "registry")
+    return checked.where("_fit").select(*schemas.SPEC_FIELDS), checked.where("not _fit").isEmpty()
+
+
 def spec_struct() -> Column:
     return F.struct(*schemas.SPEC_FIELDS)
 

@@ -8,6 +8,7 @@ and a published batch never changes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,6 +41,8 @@ LOGS = {
         "batch_id": "string",
     },
     "import_runs": {**schemas.IMPORT_RUN_FIELDS, "batch_id": "string"},
+    "quarantine": {**schemas.QUARANTINE_FIELDS, "batch_id": "string"},
+    "file_manifest": {**schemas.MANIFEST_FIELDS, "batch_id": "string"},
     "classification_decisions": {**schemas.DECISION_FIELDS, "batch_id": "string"},
     "review_events": {**schemas.REVIEW_EVENT_FIELDS, "batch_id": "string"},
     "classification_corrections": {**schemas.CORRECTION_FIELDS, "batch_id": "string"},
@@ -60,6 +63,16 @@ COMMIT_FIELDS = {
 }
 
 
+_BATCH_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,199}")
+
+
+def check_batch_id(batch_id: str) -> str:
+    """The id, which names folders: ValueError unless it is letters, digits and ``. _ -`` alone."""
+    if not _BATCH_ID.fullmatch(batch_id or ""):
+        raise ValueError(f"batch id {batch_id!r} may hold letters, digits and . _ - only, and starts with one of the first two")
+    return batch_id
+
+
 class BatchConflict(ValueError):
     """A batch id was published before with other content."""
 
@@ -111,6 +124,7 @@ class Store:
 
     def committed(self, batch_id: str, content: str | None = None) -> bool:
         """Whether the batch is published; BatchConflict if that was with other content."""
+        check_batch_id(batch_id)
         known = self.commits().where(F.col("batch_id") == batch_id).select("content").first()
         if known is not None and content is not None and known.content != content:
             raise BatchConflict(f"batch {batch_id!r} was published with other content")
@@ -118,6 +132,7 @@ class Store:
 
     def attempt(self, batch_id: str) -> str:
         """The name of this object's attempt at a batch."""
+        check_batch_id(batch_id)
         return self._attempts.setdefault(batch_id, uuid.uuid4().hex[:12])
 
     def read(self, table: str) -> DataFrame:
@@ -173,10 +188,13 @@ class Store:
         months = rows.withColumn("transaction_month", F.date_format("transaction_date", "yyyy-MM"))
         months.hint("rebalance", "transaction_month").write.partitionBy("transaction_month").parquet(path)
 
+    def clock(self) -> int:
+        """The number the next commit gets."""
+        return self.commits().agg(F.coalesce(F.max("commit_seq"), F.lit(0)).alias("n")).first().n + 1
+
     def commit(self, batch_id: str, tables: list[str], content: str = "") -> None:
         """Publish this attempt, once and for all. One writer at a time."""
-        last = self.commits().agg(F.coalesce(F.max("commit_seq"), F.lit(0)).alias("n")).first().n
-        row = [(self.attempt(batch_id), last + 1, tables, content)]
+        row = [(self.attempt(batch_id), self.clock(), tables, content)]
         self.spark.createDataFrame(row, "attempt string, commit_seq bigint, tables array<string>, content string").coalesce(
             1
         ).write.mode("error").parquet(f"{self.root}/_commits/batch_id={batch_id}")

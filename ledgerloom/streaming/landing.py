@@ -3,7 +3,7 @@
 A batch is named after the files it holds, so a replayed micro-batch finds itself
 published, and a query started afresh never meets another one's batches. Files whose
 bytes are already stored are skipped, so restarts cannot double any row. Files of
-another suffix or over the size limit are refused and logged.
+another suffix, or over a size limit if one is set, are refused and logged.
 """
 
 from __future__ import annotations
@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.ingest import files_id, ingest_batch
-from ledgerloom.sources.files import MAX_FILE_BYTES
-from ledgerloom.sources.store import Store
+from ledgerloom.sources.store import Store, check_batch_id
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def watch_folder(
-    spark: SparkSession, store: Store, path: str, checkpoint: str, name: str = "landing", max_bytes: int = MAX_FILE_BYTES
+    spark: SparkSession, store: Store, path: str, checkpoint: str, name: str = "landing", max_bytes: int | None = None
 ) -> StreamingQuery:
     """Ingest what is in ``path`` now and was not ingested before, then stop."""
+    check_batch_id(name)
     arriving = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(path)
 
     def ingest(files: DataFrame, number: int) -> None:

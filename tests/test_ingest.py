@@ -199,6 +199,143 @@ def test_stored_files_are_not_parsed_again(spark, tmp_path, store, monkeypatch):
     assert seen == [1]
 
 
+def test_unchanged_files_are_not_opened(spark, tmp_path, store, monkeypatch):
+    from ledgerloom.plans import ingest as plan
+
+    fixtures.write(tmp_path, "bank [1].csv", fixtures.BANK)
+    fixtures.write(tmp_path, "blocked.csv", "foo,bar\n1,2\n")
+    ingest(spark, tmp_path, store, "b1")
+    status = lambda batch: {r.path.rsplit("/", 1)[1]: (r.persistence_status, r.import_id) for r in plan.batch_files(store, batch).collect()}
+    held = status("b1")["bank [1].csv"][1]
+    assert status("b1") == {"bank [1].csv": ("stored", held), "blocked.csv": ("not_stored", None)}
+    opened = []
+    read = plan.read_files
+    monkeypatch.setattr(plan, "read_files", lambda spark, paths, size: opened.extend(paths) or read(spark, paths, size))
+    fixtures.write(tmp_path, "copy.txt", fixtures.BANK)
+    ingest(spark, tmp_path, store, "b2")
+    assert sorted(p.rsplit("/", 1)[1] for p in opened) == ["blocked.csv", "copy.txt"]
+    assert status("b2") == {"bank [1].csv": ("already_imported", held), "copy.txt": ("already_imported", held), "blocked.csv": ("not_stored", None)}
+    (tmp_path / "blocked.csv").rename(tmp_path / "blocked.old")
+    opened.clear()
+    ingest(spark, tmp_path, store, "b3")
+    assert opened == [] and set(status("b3").values()) == {("already_imported", held)}
+    assert summarize_store(store).first().transactions == 6
+
+
+def test_large_files_are_read_by_ranges(spark, tmp_path, store):
+    def stored(some):
+        columns = [c for c in some.read("transactions").columns if c not in ("id", "file_id", "import_id", "import_seq", "source_location", "batch_id")]
+        rows = some.read("transactions").select(*columns, "source_location.row_number")
+        runs = some.read("import_runs").select("format_id", "ingestion_status", "persistence_status", *COUNTS, F.to_json("issue_counts"))
+        return sorted(map(str, rows.collect())), sorted(map(str, runs.collect()))
+
+    fixtures.write(tmp_path, "wallet.csv", fixtures.WALLET)
+    fixtures.write(tmp_path, "bank.TXT", fixtures.BANK)
+    fixtures.write(tmp_path, "words.csv", "just words\n" * 20)
+    ingest(spark, tmp_path, store, "b1")
+    split = Store.scratch(spark)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        ingest(spark, tmp_path, split, "b1", split_bytes=100)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert stored(split) == stored(store)
+    ingest(spark, tmp_path, split, "b2", split_bytes=100)
+    assert summarize_store(split).first().transactions == 13
+
+
+@pytest.mark.parametrize("batch", ["b/3", "b%203", "b 3", "", "../x", "_x", "b\n"])
+def test_batch_ids_that_are_no_folder_names_are_refused(spark, tmp_path, store, batch):
+    from ledgerloom.streaming.landing import watch_folder
+
+    fixtures.write(tmp_path, "bank.csv", fixtures.BANK)
+    with pytest.raises(ValueError):
+        ingest(spark, tmp_path, store, batch)
+    with pytest.raises(ValueError):
+        watch_folder(spark, store, f"file:{tmp_path}", str(tmp_path / "c"), batch)
+    assert store.commits().isEmpty()
+
+
+def test_corrected_pendings_are_promoted_once(spark, tmp_path, store):
+    from ledgerloom.plans.pendings import current_pendings, promote_corrections
+
+    rows = ["2026-01-02,08:00:00,Compra,Quiosque,R$ doze,Pix", "2026-01-03,08:00:00,Compra,Mercado,R$ onze,Pix",
+            "2026-01-04,08:00:00,Compra,Feira,R$ dez,Pix", '2026-01-02,09:00:00,Compra,Padaria,"-R$ 3,00",Pix']
+    fixtures.write(tmp_path, "w.csv", "\n".join([fixtures.WALLET_HEADER, *rows, ""]))
+    ingest(spark, tmp_path, store, "b1")
+    ids = {r.candidate.description_raw: r.id for r in store.read("pending_transactions").collect()}
+    done = store.read("transactions").first()
+    from ledgerloom.operators.validate import CORRECTABLE
+
+    types = {"transaction_date": "date", "amount_minor": "bigint"}
+    shape = "pending_id string, " + ", ".join(f"new_{c} {types.get(c, 'string')}" for c in CORRECTABLE)
+    def row(pending, **new):
+        return (pending, *[new.get(c) for c in CORRECTABLE])
+    asked = [row(ids["Quiosque"], amount_minor=1200), row(ids["Mercado"]), row("nobody", amount_minor=1),
+             row(ids["Feira"], amount_minor=300, transaction_date=done.transaction_date, description_raw="Padaria")]
+    frame = spark.createDataFrame(asked, shape)
+    for _ in range(2):
+        got = {r.pending_id: r.result for r in promote_corrections(store, frame, "p1", AS_OF).collect()}
+        assert got == {ids["Quiosque"]: "transaction", ids["Mercado"]: "empty_correction", "nobody": "pending_not_found", ids["Feira"]: "duplicate"}
+        summary = summarize_store(store).first()
+        assert (summary.transactions, summary.open_pending, summary.duplicate_candidates) == (2, 1, 1)
+    assert {r.id: r.status for r in current_pendings(store).collect()} == {ids["Quiosque"]: "corrected", ids["Feira"]: "corrected", ids["Mercado"]: "open"}
+    again = spark.createDataFrame([row(ids["Quiosque"], amount_minor=1300)], shape)
+    assert [r.result for r in promote_corrections(store, again, "p2", AS_OF).collect()] == ["pending_not_open"]
+    assert summarize_store(store).first().transactions == 2
+
+
+def test_rows_that_break_a_constraint_go_to_quarantine(spark, tmp_path, store, monkeypatch):
+    from ledgerloom.functions import checks
+
+    monkeypatch.setattr(checks, "CURRENCY", "^(?!BRL)[A-Z]{3}$")
+    fixtures.write(tmp_path, "bank.csv", fixtures.BANK)
+    fixtures.write(tmp_path, "w.csv", fixtures.WALLET_HEADER + "\n31-31-31,99:00:00,Compra,Quiosque,R$ doze,Pix\n")
+    ingest(spark, tmp_path, store, "b1")
+    assert store.read("transactions").isEmpty() and store.read("pending_transactions").isEmpty()
+    held = store.read("quarantine").collect()
+    assert sorted(r.target for r in held) == ["pending_transactions"] + ["transactions"] * 6
+    assert {tuple(r.violations) for r in held} == {("currency_format",)} and all('"currency":"BRL"' in r.row for r in held)
+    for r in store.read("import_runs").collect():
+        assert r.records_read == r.transactions_created + r.pending_created + r.duplicates_in_file + r.records_rejected
+        assert r.issue_counts["constraint_violation"] in (1, 6)
+
+
+def test_switches_of_later_batches_count_whatever_their_numbers(spark, store):
+    from ledgerloom.plans.maintain import change_dimensions
+
+    shape = "seq bigint, action string, name string, id string"
+    rules = spark.createDataFrame([], "seq bigint, action string, id string, name string, priority int, nature string, category_id string, description_exact string, merchant_exact string, counterparty_exact string, source_institution string, card_alias string, created_by_user boolean")
+    change_dimensions(store, spark.createDataFrame([(5, "create", "Bikes", None)], shape), rules, "d1")
+    made = store.snapshot("categories").first()
+    assert made.is_active
+    off = change_dimensions(store, spark.createDataFrame([(1, "deactivate", None, made.id), (2, "deactivate", None, "nobody")], shape), rules, "d2")
+    assert {r.seq: r.applied for r in off.collect()} == {1: True, 2: False}
+    assert not store.snapshot("categories").first().is_active
+    change_dimensions(store, spark.createDataFrame([(0, "activate", None, made.id)], shape), rules, "d3")
+    assert store.snapshot("categories").first().is_active
+
+
+def test_layouts_of_another_store(spark, tmp_path, store):
+    from ledgerloom.sources.formats import write_registry
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    path = fixtures.write(folder, "new.csv", fixtures.NEW_LAYOUT)
+    schema = "path string, institution string, currency string, date_order string, approval_seq bigint"
+    ingest(spark, folder, store, "b1", approvals=spark.createDataFrame([(path, "Banco Novo", "BRL", "dmy", 3)], schema))
+    write_registry(store.snapshot("format_specs"), f"file:{tmp_path}/registry")
+    other = Store.scratch(spark)
+    (tmp_path / "registry" / "broken.json").write_text('{"format_id": 5, "expected\n')
+    ingest(spark, folder, other, "b1", registry_path=f"file:{tmp_path}/registry")
+    assert runs_by(other, "detection_status", "issue_counts") == [("unknown", {"registry_invalid": 1})]
+    (tmp_path / "registry" / "broken.json").rename(tmp_path / "broken.json")
+    ingest(spark, folder, other, "b2", registry_path=f"file:{tmp_path}/registry")
+    (run,) = other.read("import_runs").where("batch_id = 'b2'").collect()
+    assert (run.detection_status, run.ingestion_status, run.transactions_created) == ("learned", "completed", 2)
+
+
 def test_corrections_can_be_repeated(spark, store):
     from ledgerloom.plans.correct import correct_batch
 

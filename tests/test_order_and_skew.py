@@ -103,6 +103,29 @@ def test_reviews_and_history_match_sequential_models(spark, hot):
     assert current == {k for k, v in dated.items() if v[1]}
 
 
+def test_one_second_of_one_key_spreads_over_runs(spark, monkeypatch):
+    """All rows of a key at the same time: runs are cut by rows, and open reviews need no episodes."""
+    from ledgerloom.operators import runs
+
+    monkeypatch.setattr(runs, "RUN_ROWS", 40)
+    rng = random.Random(3)
+    events = [("hot" if i % 4 else f"t{i % 12}", rng.choice(["opened", "resolved"]), f"r{i % 5}", ["b", "a"], START, i) for i in range(400)]
+    frame = spark.createDataFrame(
+        events, "transaction_id string, event string, reason string, candidate_rule_ids array<string>, event_at timestamp, seq long").repartition(6)
+    counted = runs.running_count(frame, "transaction_id", ["event_at", "seq"], F.col("event") == "resolved", "n", 100)
+    cut = runs._cut(frame, "transaction_id", ["event_at", "seq"], 100)
+    sizes = [r["count"] for r in cut.where("_hot").groupBy("_run").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 80
+    for r in counted.collect():
+        assert r.n == sum(e[0] == r.transaction_id and e[5] < r.seq and e[1] == "resolved" for e in events)
+    following = runs.neighbours(frame, "transaction_id", ["event_at", "seq"], ["seq"], True, 100)
+    for r in following.collect():
+        assert r.next_seq == min((e[5] for e in events if e[0] == r.transaction_id and e[5] > r.seq), default=None)
+    for hot in (2, 10**9):
+        whole = reviews.reviews(frame, hot).where("status = 'open'").drop("status", "resolved_at", "episode")
+        assert sorted(map(str, reviews.open_reviews(frame, hot).select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
 RULE_SCHEMA = "id string, priority int, nature string, category_id string, description_exact string, merchant_exact string, counterparty_exact string, source_institution string, card_alias string"
 TX_SCHEMA = "id string, description_normalized string, merchant_name string, counterparty_name string, source_institution string, card_alias string"
 
