@@ -17,32 +17,56 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts (under 50 words) go. Repeated rows and doc_ids are judged each, a null
+    doc_id like any other; texts of any length are judged whole. Other columns than COLUMNS are
+    dropped. An empty table gives none.
+    """
     verdicts = quality.judge(docs, carry=COLUMNS[1:])
     return verdicts.filter("kept").select(COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal or near-equal texts."""
+    """One document of each class of equal or near-equal texts.
+
+    The smallest doc_id of a class stays, null last; of repeated rows one stays. Rows with null texts all stay,
+    of equal blank texts one does. Texts of any length are compared whole. Other columns than COLUMNS
+    are dropped. An empty table gives none.
+    """
     return near.representatives(docs, COLUMNS[2:]).select(COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand earlier in the corpus; those with nothing left go."""
+    """Documents without passages that stand earlier in the corpus; those with nothing left go.
+
+    Null and empty texts go too. Of repeated rows, and of rows with equal texts and null doc_ids, the first
+    keeps its passages. Texts of any length are cut whole. Other columns than COLUMNS are dropped. An
+    empty table gives none.
+    """
     return spans.remove_repeated(docs, carry=["lang", "source"]).filter("text <> ''").select(
         "doc_id", "text", "lang", "source", F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     ).select(COLUMNS)
 
 
 def to_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them; the last one of a source is cut to fit."""
+    """Documents as often as the mixture takes them; the last one of a source is cut to fit.
+
+    Documents without words, null texts too, are of size 0 and not taken. Null sources are a source of
+    their own; repeated rows and null doc_ids are documents each. Other columns than COLUMNS are dropped.
+    An empty table gives none.
+    """
     return mixture.mixed_documents(docs).select(
         "doc_id", "text", "lang", "source", F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     ).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to the vocabulary's form of the text."""
+    """Digests of the token ids of every document and of the text they decode to.
+
+    Null texts count as empty; repeated rows and null doc_ids keep their rows; texts of any length are
+    encoded whole. Other columns are dropped. An empty table gives none.
+    """
     return bpe.encode_digests(docs, word_vocabulary())
 
 
