@@ -76,16 +76,18 @@ def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of messages (conv_id, turn, role, text) that carry JSON.
 
     A call: an element of `tool_calls` in an assistant's text, {"id", "name", "arguments"}; it
-    depends on every call that a string argument names as "$id" at top level. A result: a message
-    of role tool, {"tool_call_id", "content"}. Texts that aren't such JSON give neither.
+    depends on every call that a string in its arguments, at any depth, names as "$id". A result: a
+    message of role tool, {"tool_call_id", "content"}. Texts that aren't such JSON give neither.
     """
     shape = "tool_calls array<struct<id:string,name:string,arguments:string>>"
-    spoken = messages.filter("role = 'assistant' and text like '{%'").withColumn("_j", F.from_json("text", shape))
+    spoken = messages.filter((F.col("role") == "assistant") & F.col("text").rlike(r"^\s*\{")).withColumn("_j", F.from_json("text", shape))
     calls = spoken.select("conv_id", "turn", F.posexplode("_j.tool_calls").alias("seq", "c"))
-    named = F.filter(F.map_values(F.coalesce(F.from_json("c.arguments", "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda v: v.startswith("$"))
+    # Strings that begin with $, but no names of members.
+    named = F.regexp_extract_all(F.coalesce("c.arguments", F.lit("")), F.lit(r'(?<!\\)"\$((?:[^"\\]|\\.)*+)"(?!\s*:)'), F.lit(1))
+    spelled = F.transform(named, lambda v: F.get(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>"), F.lit(0)))
     calls = calls.select(
         "conv_id", "turn", "seq", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"),
-        F.transform(named, lambda v: F.substring(v, 2, 2**31 - 1)).alias("depends"),
+        F.array_compact(spelled).alias("depends"),
     )
     told = messages.filter("role = 'tool'").withColumn("_j", F.from_json("text", "tool_call_id string, content string"))
     return calls, told.select("conv_id", "turn", F.col("_j.tool_call_id").alias("call_id"), F.col("_j.content").alias("content"))

@@ -133,6 +133,11 @@ def test_tool_calls(spark):
         "conv_id long, turn int, role string, text string")
     got = chat.link(*chat.tool_messages(messages), {"f": {"type": "object"}}).collect()
     assert sorted((r.position, r.call_id, r.status) for r in got) == [(0, "b", "unanswered"), (1, "a", "linked")]
+    deep = spark.createDataFrame(
+        [(1, 0, "assistant", '\n {"tool_calls":[{"id":"a","name":"f","arguments":{"x":{"y":["$b","no $c","\\\\"],"$d":"\\"$e\\""}}},{"id":"b","name":"f","arguments":{"x":"$"}}]}')],
+        "conv_id long, turn int, role string, text string")
+    assert [sorted(r.depends) for r in chat.tool_messages(deep)[0].orderBy("seq").collect()] == [["b"], [""]]
+    assert sorted((r.position, r.call_id) for r in chat.link(*chat.tool_messages(deep), {}).collect()) == [(0, "b"), (1, "a")]
     plain = chat.link(*chat.exchanges(messages), chat.REPLY).collect()
     assert sorted((r.turn, r.status) for r in plain) == [(0, "orphan"), (2, "unanswered"), (4, "orphan")]
     assert chat.link(*chat.exchanges(messages.limit(0)), chat.REPLY).collect() == []

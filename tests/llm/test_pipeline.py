@@ -26,9 +26,22 @@ def test_every_stage_takes_effect(spark, tmp_path):
 
 
 def test_stages_take_an_empty_and_an_odd_table(spark, odd_docs):
-    for _, step in corpus_pipeline.STAGES:
+    told = odd_docs.collect()
+    out = {}
+    for name, step in corpus_pipeline.STAGES:
         assert step(spark, odd_docs.limit(0), SF_DIR).collect() == []
-        step(spark, odd_docs, SF_DIR).collect()
+        frame = step(spark, odd_docs, SF_DIR)
+        assert name == "bpe" or frame.columns == corpus_pipeline.COLUMNS
+        out[name] = frame.collect()
+    rows = {tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in told}
+    for name in ("quality_rules", "near_dedup"):
+        assert {tuple(r) for r in out[name]} <= rows
+    assert all(r.text and len(r.text.split()) >= 50 for r in out["quality_rules"])
+    texts = [r.text for r in out["near_dedup"] if r.text is not None]
+    assert len(texts) == len(set(texts)) and sum(r.text is None for r in out["near_dedup"]) == sum(r.text is None for r in told)
+    assert all(r.text for r in out["substring_dedup"]) and [r.doc_id for r in out["substring_dedup"] if r.doc_id in (1, 3)] == [1]
+    assert all(r.text and r.text.split() for r in out["mixing"]) and {r.doc_id for r in out["mixing"]} <= {r.doc_id for r in told}
+    assert len(out["bpe"]) == len(told) and sum(r.n_tokens == 0 for r in out["bpe"]) == sum(not (r.text or "").strip() for r in told)
 
 
 def test_tool_calls_equal_their_sql(spark):
