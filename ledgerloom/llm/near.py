@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stage
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, extended
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -26,8 +26,12 @@ LEAST_SHARED = 2
 #: and those still apart meet by their rarest shingles.
 SMALL_BUCKET = 16
 NEIGHBOURS = 3
-#: Texts of a shingle in one part of the join by rarest shingles.
-PART_ROWS = 256
+#: Texts of fewer shingles than SHORT get so many more sketches of one minimum: of few shingles, four
+#: minima agree too seldom.
+SHORT = 12
+SHORT_SKETCHES = 12
+#: Bits that stand for a text's shingles in the join by rarest shingles.
+MARK_BITS = 256
 
 _WORD = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(20240601).integers(1, 2**63, 512, dtype=np.uint64)
@@ -71,8 +75,11 @@ def labelled(run: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(run: np.ndarray, count: int = SKETCHES, size: int = ORDER) -> np.ndarray:
-    """One key per sketch: the shingles with the `size` smallest labelled hashes, in text order."""
+def sketches(run: np.ndarray, count: int = SKETCHES, size: int = ORDER, skip: int = 0) -> np.ndarray:
+    """One key per sketch: the shingles with the `size` smallest labelled hashes, in text order.
+
+    skip: number of the first sketch; sketches of other numbers never agree.
+    """
     n = len(run)
     size = min(size, n)
     if not n:
@@ -81,7 +88,7 @@ def sketches(run: np.ndarray, count: int = SKETCHES, size: int = ORDER) -> np.nd
     keys = np.empty(count, np.uint64)
     step = max(1, 4_000_000 // n)
     for j in range(0, count, step):
-        seeds = _SEEDS[8 + j : 8 + min(count, j + step)]
+        seeds = _SEEDS[8 + skip + j : 8 + skip + min(count, j + step)]
         ranks = _mix(labels[None, :] ^ seeds[:, None])
         chosen = np.sort(np.argpartition(ranks, size - 1, axis=1)[:, :size], axis=1)
         key = seeds.copy()
@@ -162,6 +169,13 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 # --- jobs ------------------------------------------------------------------------------------
 
 
+def text_keys(run: np.ndarray) -> np.ndarray:
+    """All sketches of a text's shingles."""
+    if not 0 < len(run) < SHORT:
+        return sketches(run)
+    return np.concatenate((sketches(run), sketches(run, SHORT_SKETCHES, 1, SKETCHES)))
+
+
 def _emit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -170,7 +184,7 @@ def _emit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             group.append(text or "")
             size += len(group[-1])
             if size > 1_000_000 or i + 1 == len(texts):
-                keys.extend(sketches(run) for run in shingles(group))
+                keys.extend(map(text_keys, shingles(group)))
                 group, size = [], 0
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "doc_id", "keys"])
 
@@ -239,7 +253,8 @@ def _second_hub_pairs(rows: DataFrame, degrees: DataFrame) -> DataFrame:
     """Pairs of members with the best connected one outside the root of the best connected of all."""
     weighed = stage(rows.join(degrees, "node").select("key", "root", F.struct("degree", "node", "root").alias("m")), "near-weighed")
     first = stage(weighed.groupBy("key").agg(F.max("m").alias("hub")), "near-hubs")
-    others = weighed.join(first, "key").filter("root != hub.root")
+    # Staged, so that the join can split a hot bucket and the maxima are combined before a shuffle.
+    others = stage(weighed.join(first, "key").filter("root != hub.root").select("key", "m"), "near-others")
     second = stage(others.groupBy("key").agg(F.max("m").alias("hub")), "near-hubs")
     pairs = rows.join(second, "key").filter("root != hub.root")
     return pairs.select(*_ordered(F.col("node"), F.col("hub.node"))).distinct()
@@ -264,12 +279,23 @@ def _neighbour_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node", "root").mapInArrow(_next_ones, "a binary, b binary").distinct()
 
 
+def _marks(labels: np.ndarray) -> np.ndarray:
+    """MARK_BITS bits, each the parity of the labelled shingles it stands for, as four words.
+
+    Two texts' bits differ in no more places than one text has shingles that the other lacks.
+    """
+    odd = np.bincount((labels >> np.uint64(7)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view("<i8")
+
+
 def _emit_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            found = [labelled(run).view(np.int64) for run in shingles(some.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([len(f) for f in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "shingles"])
+            found = [labelled(run) for run in shingles(some.column("text").to_pylist())]
+            marks = np.stack([_marks(f) for f in found])
+            columns = [some.column("id"), pa.array([len(f) for f in found], pa.int32()), *(pa.array(marks[:, i]) for i in range(4)), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "m0", "m1", "m2", "m3", "shingles"])
 
 
 def _exact_pairs(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -278,34 +304,42 @@ def _exact_pairs(members: DataFrame, texts: DataFrame, least: float) -> DataFram
     Of two texts that share what `least` asks for, each has a shared shingle among its n -
     ceil(least * n) + 1 first ones in any order that holds for all; rarest first, few are shared
     with others. Shingles of one text only take their places in that count and no part in the join.
+    Texts meet by shingle and class of length: the shorter of two is in the class of the longer or
+    the one below, and its shared shingle stands so early that the rest of it can still be shared.
+    The bits of their shingles then rule out most pairs that share a common passage and little else.
     """
     members = stage(members.withColumn("id", F.monotonically_increasing_id()), "near-members")
     told = texts.join(members.select("node", "id"), "node").select("id", "text")
-    each = stage(told.mapInArrow(_emit_labelled, "id long, n int, shingles array<long>"), "near-shingles")
+    marks = ["m0", "m1", "m2", "m3"]
+    each = stage(told.mapInArrow(_emit_labelled, "id long, n int, m0 long, m1 long, m2 long, m3 long, shingles array<long>"), "near-shingles")
     tokens = each.select("id", F.explode("shingles").alias("token"))
     often = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "near-frequent")
-    ranked = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("m")).join(each.select("id", "n"), "id")
+    ranked = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("m")).join(each.select("id", "n", *marks), "id")
     # Shingles no other member has come before all of m.
     ahead = F.col("n") - F.size("m")
     indexed = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - ahead
-    first = ranked.filter(indexed > 0).select("id", "n", ahead.alias("ahead"), F.posexplode(F.slice("m", 1, indexed.cast("int"))).alias("i", "t"))
-    prefix = stage(first.join(members, "id").select("t.token", "node", "root", "n", (F.col("ahead") + F.col("i")).alias("at")), "near-prefix")
-    # One side of a common shingle is dealt to parts, the other goes to each of them.
-    parts = stage(prefix.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token", F.ceil(F.col("held") / PART_ROWS).cast("int").alias("parts")), "near-parts")
-    shared = prefix.join(parts, "token")
-    a = shared.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "at")))
-    b = shared.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "at")))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
+    # A little wider than the lengths that can be similar, so that rounding parts none.
+    length_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.0001 / least))).cast("int")
+    first = ranked.filter(indexed > 0).select("id", "n", length_class.alias("class"), *marks, ahead.alias("ahead"), F.posexplode(F.slice("m", 1, indexed.cast("int"))).alias("i", "t"))
+    prefix = stage(first.join(members, "id").select("t.token", "class", "node", "root", "n", (F.col("ahead") + F.col("i")).alias("at"), *marks), "near-prefix")
+    half = least / (1 + least)
+    sides = {side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at", *marks)] for side in "ab"}
+    shorter = prefix.filter(F.col("at") <= F.col("n") - F.ceil(2 * half * F.col("n") - 1e-9)).select("token", "class", *sides["a"])
+    longer = prefix.select("token", "class", *sides["b"]).unionByName(prefix.select("token", (F.col("class") - 1).alias("class"), *sides["b"]))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * half - 1e-9)
+    in_order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     # After the first shared shingle no more can be shared than either has left.
     reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    return a.join(b, ["token", "part"]).filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (reach >= need)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in marks), F.lit(0))
+    can = in_order & (F.col("root_a") != F.col("root_b")) & (reach >= need) & (differ <= F.col("n_a") + F.col("n_b") - 2 * need)
+    return shorter.join(longer, ["token", "class"]).filter(can).select(*_ordered(F.col("node_a"), F.col("node_b"))).distinct()
 
 
-def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): the different texts of docs, and links between similar ones.
+def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, roots): the different texts of docs, links between similar ones, and their components.
 
     nodes: node (MD5 of the text), doc_id (smallest), copies. edges: a, b, similarity: enough of
-    them to connect all texts that similar pairs connect.
+    them to connect all texts that similar pairs connect. roots: node, root of linked texts.
 
     Texts meet in buckets of equal sketches. First every member of a bucket is compared with the
     bucket's hub, which joins the large groups. Then members that are still apart are compared
@@ -315,8 +349,8 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     then meet by their rarest shingles, which finds all similar pairs among them.
     """
     text = F.col("text")
-    rows = docs.filter(text.isNotNull()).select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = rows.mapInArrow(_emit_sketches, "node binary, doc_id long, keys array<long>").filter(F.size("keys") > 0)
+    rows = docs.filter(text.rlike(r"\S")).select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched = rows.mapInArrow(_emit_sketches, "node binary, doc_id long, keys array<long>")
     known = stage(sketched.groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "near-sketches")
     bands = known.select("node", F.explode("keys").alias("key"))
     often = stage(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-often")
@@ -330,7 +364,7 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
 
     alone = live.select("key", "node", F.col("node").alias("root"))
     near = stage(_linked(_keyed(_hub_pairs(alone, often.select("key"), degrees), known), texts, least), "near-links")
-    roots = components(near)
+    roots = stage(components(near), "near-roots")
     apart = live.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     counts = stage(_counts(apart), "near-counts")
     apart = stage(apart.join(counts, "key"), "near-apart")
@@ -340,11 +374,12 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     late = stage(_linked(_keyed(rest.distinct(), known), texts, least), "near-links")
 
     joined = near.unionByName(late)
-    apart = large.select("key", "node").join(components(joined), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    roots = extended(roots, late)
+    apart = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = stage(apart, "near-apart")
     members = apart.join(stage(_counts(apart), "near-counts"), "key", "left_semi").select("node", "root").distinct()
     last = stage(_compared(_exact_pairs(members, texts, least), texts, least), "near-links")
-    return known.select("node", "doc_id", "copies"), joined.unionByName(last)
+    return known.select("node", "doc_id", "copies"), joined.unionByName(last), extended(roots, last)
 
 
 def representatives(docs: DataFrame, columns: list[str], least: float = SIMILARITY) -> DataFrame:
@@ -369,15 +404,17 @@ def classes(docs: DataFrame, least: float = SIMILARITY, carry: list[str] | None
     counted) can be aligned in order: aligned / (all of both - aligned). Linked texts, and those
     linked through others, form a class; its id is the smallest doc_id (null if it has none).
     kept marks one row of each class: that doc_id's, the first by text where rows repeat.
-    Texts of fewer than five words are one shingle. Rows with null, empty or wordless texts are a
-    class each: class_id is their doc_id, and they are kept. An empty table gives none.
+    Texts of fewer than five words are one shingle. Texts of signs alone form classes of equal ones.
+    Rows with null or blank texts are a class each: class_id is their doc_id, and they are kept. An
+    empty table gives none.
     Columns named in carry are passed on, others ignored.
     """
-    nodes, edges = links(docs, least)
-    roots = components(edges)
+    nodes, _, roots = links(docs, least)
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "node"))
-    totals = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), best.alias("best"))
+    # Staged, so that the join by class reads plain shuffles and a large class can be split.
+    grouped = stage(grouped, "near-classes")
+    totals = stage(grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), best.alias("best")), "near-totals")
     member = grouped.join(totals, "root").select("node", F.col("doc_id").alias("_first"), "class_id", "class_size", (F.col("best.node") == F.col("node")).alias("_best"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("node"), *(F.col(c).alias(f"_carry_{c}") for c in carry or ()))
     chosen = F.coalesce("_best", F.lit(True)) & (F.coalesce("_first", F.lit(-1)) == F.coalesce("doc_id", F.lit(-1)))

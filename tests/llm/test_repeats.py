@@ -36,7 +36,7 @@ def test_banded_alignment_is_exact():
 
 
 def near_model(rows):
-    texts = sorted({t for _, t in rows if t and near.shingles([t])[0].size})
+    texts = sorted({t for _, t in rows if t and t.strip()})
     runs = dict(zip(texts, near.shingles(texts), strict=True))
     root = {t: t for t in texts}
 
@@ -82,6 +82,19 @@ def test_near_duplicates(spark, odd_docs, monkeypatch):
     assert near.classes(odd_docs.limit(0)).collect() == []
 
 
+def test_near_duplicates_of_short_texts_and_of_signs(spark):
+    """Texts of eight and nine words, similarity exactly 0.8, and copies without a word."""
+    rows = []
+    for i in range(1500):
+        words = [f"s{i}_{j}" for j in range(8)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "end"]))]
+    rows += [(9000 + i, "!!! ### $$$") for i in range(3)] + [(9010, "..."), (9011, "... "), (9012, " "), (9013, " "), (9014, "")]
+    got = {r.doc_id: (r.class_id, r.kept) for r in near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i + 1][0] == got[2 * i][0] == 2 * i for i in range(1500))
+    assert [got[9000 + i] for i in range(3)] == [(9000, True), (9000, False), (9000, False)]
+    assert all(got[i] == (i, True) for i in range(9010, 9015))
+
+
 def test_near_duplicates_within_a_template(spark):
     """Pairs at 0.8 or just above in a family whose other members, hubs too, are just below."""
     template, rows = [f"t{i}" for i in range(200)], []
@@ -100,6 +113,13 @@ def test_components(spark):
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     expected = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)} | {i: 200 for i in (200, 201, 202)}
     assert {r.node: r.root for r in got} == expected and len(got) == len(expected)
+    some = components.components(spark.createDataFrame(edges[5:], "a long, b long"))
+    for more in (edges[:5] + [(6, 5), (300, 301)], [(59, 60)], [(250, 60), (0, 201), (170, 99)]):
+        edges += more
+        some = components.extended(some, spark.createDataFrame(more, "a long, b long"))
+        whole = {(r.node, r.root) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        got = [tuple(r) for r in some.select("node", "root").collect()]
+        assert set(got) == whole and len(got) == len(whole)
 
 
 def test_repeated_passages(spark, odd_docs):
@@ -124,6 +144,15 @@ def test_repeated_passages(spark, odd_docs):
     assert spans.remove_repeated(odd_docs.limit(0)).collect() == []
 
 
+def test_passages_of_repeated_rows_and_long_rows_of_signs(spark):
+    passage = " ".join(f"Word{i} of the passage number {i} here." for i in range(12))
+    rows = [(None, passage)] * 3 + [(4, passage)] * 2 + [(5, passage + " More.")] + [(6, "x " + "." * 1_000_000 + "a"), (7, None), (7, None), (8, "\n" * 100_000 + passage)]
+    got = [(r.doc_id, r.text) for r in spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(t for d, t in got if d is None) == ["", "", passage]
+    assert [t for d, t in got if d == 4] == ["", ""] and (5, "More.") in got
+    assert (6, rows[6][1]) in got and got.count((7, None)) == 2 and [t.strip() for d, t in got if d == 8] == [""]
+
+
 def every_run(units):
     """All runs of at least three sentences and 25 words: first, end, words compared."""
     words = [u.lower().split() for u in units]
