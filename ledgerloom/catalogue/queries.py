@@ -478,7 +478,11 @@ def active_rules(spark, sf_dir):
 @query
 def match_rules(spark, sf_dir):
     usable = rules.usable_rules(views.part_rules(spark, sf_dir), views.part_categories(spark, sf_dir))
-    return _proposals(rules.propose(views.order_transactions(spark, sf_dir), usable))
+    return _proposals(rules.propose(views.order_transactions(spark, sf_dir), usable, _evidence))
+
+
+def _evidence(rule_ids: Column) -> dict[str, Column]:
+    return {"matched_rules": F.size(rule_ids), "evidence": F.sha2(joined(rule_ids), 256)}
 
 
 def _proposals(rows: DataFrame) -> DataFrame:
@@ -488,8 +492,8 @@ def _proposals(rows: DataFrame) -> DataFrame:
         "nature",
         F.col("proposed_category_id").alias("category_id"),
         "winning_rule_id",
-        F.size("matched_rule_ids").alias("matched_rules"),
-        F.sha2(joined("matched_rule_ids"), 256).alias("evidence"),
+        "matched_rules",
+        "evidence",
         "review_reason",
     )
 

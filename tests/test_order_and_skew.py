@@ -156,6 +156,34 @@ def test_rules_match_a_nested_loop(spark, monkeypatch):
         assert got == expected
 
 
+def test_long_rule_lists_are_made_once(spark, monkeypatch):
+    """Lists of many rules stay out of the decisions per tuple, whichever way they are put together."""
+    rule_rows = [(f"r{i:02d}", 100, "estorno", None, "LOJA", None, None, None, None) for i in range(5)]
+    rule_rows += [(f"m{i:02d}", 100, "estorno", None, None, "CAFE", None, None, None) for i in range(4)]
+    rule_rows += [("s00", 100, "estorno", None, None, None, f"P{i}", None, None) for i in range(3)]
+    tx_rows = [(f"t{i:02d}", "LOJA" if i % 2 else "X", "Cafe" if i % 3 else None, f"p{i % 4}", "Y", None) for i in range(48)]
+    expected = {}
+    for tx in tx_rows:
+        ids = [f"r{i:02d}" for i in range(5)] * (tx[1] == "LOJA") + [f"m{i:02d}" for i in range(4)] * (tx[2] == "Cafe") + ["s00"] * (tx[3] != "p3")
+        expected[tx[0]] = sorted(ids)
+    txs, table = spark.createDataFrame(tx_rows, TX_SCHEMA), spark.createDataFrame(rule_rows, RULE_SCHEMA)
+    staged = {}
+    keep = rules.stage_shared
+    monkeypatch.setattr(rules, "stage_shared", lambda frame, name: staged.setdefault(name, keep(frame, name)))
+    monkeypatch.setattr(rules, "FEW_IDS", 3)
+    for most in (rules.BROADCAST_IDS_MAX, 0):
+        staged.clear()
+        monkeypatch.setattr(rules, "BROADCAST_IDS_MAX", most)
+        rows = rules.propose(txs, table).collect()
+        assert {r.id: r.matched_rule_ids for r in rows} == expected
+        longest = max((len(v) for r in staged["rule-decisions"].collect() for v in r if isinstance(v, list)), default=0)
+        assert longest <= 3
+        staged.clear()
+        joined = rules.propose(txs, table, lambda ids: {"n": F.size(ids), "listed": F.array_join(ids, ",")}).collect()
+        assert {r.id: (r.n, r.listed) for r in joined} == {k: (len(v), ",".join(v)) for k, v in expected.items()}
+        assert {r.id: r[r.__fields__.index("review_reason")] for r in joined} == {r.id: r.review_reason for r in rows}
+
+
 def test_listing_limits(spark):
     frame = spark.createDataFrame([("a", START, "open")], "id string, created_at timestamp, status string")
     for limit in (0, 1001):
