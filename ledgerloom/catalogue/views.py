@@ -24,6 +24,10 @@ def text_of(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
+def spread_tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def choose(selector: Column, options: list) -> Column:
     """options[selector] as a chain of tests."""
     out = F.lit(None)
@@ -249,7 +253,9 @@ def layout_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     extended = F.when(size % 2 == 0, F.array_append(renamed, F.lower("p_name"))).otherwise(renamed)
     columns = F.when(size % 3 == 0, F.reverse(extended)).otherwise(extended)
-    return table(spark, sf_dir, "part").withColumn("base", base).select(
+    # Few bytes and much work per row: a file with one row group would otherwise be one task.
+    parts = table(spark, sf_dir, "part").repartition(spread_tasks(spark), "p_partkey")
+    return parts.withColumn("base", base).select(
         F.col("p_partkey").cast("string").alias("file_id"),
         F.col("p_partkey").cast("string").alias("path"),
         "p_partkey",

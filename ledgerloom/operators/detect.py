@@ -40,7 +40,9 @@ def detect_formats(profiles: DataFrame, specs: DataFrame, inline_max: int = INLI
     no candidates.
     """
     if is_small(specs, inline_max):
-        known = specs.agg(F.collect_list(spec_struct())).scalar()
+        known = specs.agg(
+            F.collect_list(F.struct(spec_struct().alias("spec"), F.size(F.array_distinct("expected_columns")).alias("expected")))
+        ).scalar()
         ranked = profiles.withColumn("_specs", known).withColumn("_ranked", _rank_inline()).drop("_specs")
     else:
         best = rank_by_join(profiles, specs)
@@ -53,13 +55,13 @@ def _rank_inline() -> Column:
         "_specs",
         lambda s: F.struct(
             format_score(
-                F.size(F.array_intersect(s["expected_columns"], F.col("columns"))),
-                F.size(F.array_distinct(s["expected_columns"])),
-                s["delimiter"] == F.col("delimiter"),
+                F.size(F.array_intersect(s["spec"]["expected_columns"], F.col("columns"))),
+                s["expected"],
+                s["spec"]["delimiter"] == F.col("delimiter"),
             ).alias("score"),
-            (-s["spec_order"]).alias("place"),
-            s["format_id"].alias("format_id"),
-            s.alias("spec"),
+            (-s["spec"]["spec_order"]).alias("place"),
+            s["spec"]["format_id"].alias("format_id"),
+            s["spec"].alias("spec"),
         ),
     )
     # The spec itself holds no map, so the struct is orderable: score, then place.

@@ -43,17 +43,38 @@ SYNONYMS = {
 }
 
 
-def match_score(column: Column, synonyms: Column) -> Column:
+def _known_names(names: list[str]) -> Column:
+    """Names with their distinct words, as constants."""
+    words = [list(dict.fromkeys(name.split(" "))) for name in names]
+    return F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.array(*[F.lit(w) for w in known]).alias("words"), F.lit(len(known)).alias("n"))
+            for name, known in zip(names, words)
+        ]
+    )
+
+
+def _worded(column: Column) -> Column:
+    """A column name with its distinct words, cut once for all comparisons."""
+    return let(
+        F.array_distinct(F.split(column, " ")),
+        lambda words: F.struct(column.alias("name"), words.alias("words"), F.size(words).alias("n")),
+    )
+
+
+def _best_overlap(column: Column, synonyms: Column) -> Column:
     """1 for an exact name, else the best word overlap, at least 0.8 if contained."""
-    words = F.split(column, " ")
 
     def overlap(synonym: Column) -> Column:
-        known = F.split(synonym, " ")
-        jaccard = F.size(F.array_intersect(words, known)) / F.size(F.array_union(words, known))
-        contained = column.contains(synonym) | synonym.contains(column)
+        both = F.size(F.array_intersect(column["words"], synonym["words"]))
+        # Single words share all or nothing, and the equal ones were found before.
+        jaccard = F.when((column["n"] == 1) & (synonym["n"] == 1), F.lit(0.0)).otherwise(
+            let(both, lambda shared: shared / (column["n"] + synonym["n"] - shared))
+        )
+        contained = column["name"].contains(synonym["name"]) | synonym["name"].contains(column["name"])
         return F.greatest(jaccard, F.when(contained, F.lit(CONTAINED_SCORE)))
 
-    return F.when(F.array_contains(synonyms, column), F.lit(1.0)).otherwise(
+    return F.when(F.exists(synonyms, lambda s: s["name"] == column["name"]), F.lit(1.0)).otherwise(
         F.array_max(F.transform(synonyms, overlap))
     )
 
@@ -64,21 +85,27 @@ def assign_columns(columns: Column) -> Column:
     A fold over ten constants: each field takes the best column not taken by an
     earlier field; equal scores go to the column that sorts last.
     """
-    fields = F.array(*[F.array(*[F.lit(s) for s in names]) for names in SYNONYMS.values()])
+    fields = F.array(*[_known_names(names) for names in SYNONYMS.values()])
 
-    def choose(picked: Column, synonyms: Column) -> Column:
+    def choose(worded: Column, picked: Column, synonyms: Column) -> Column:
         free = F.filter(
-            columns,
-            lambda name: (name != "")
-            & ~F.exists(picked, lambda p: F.coalesce(p["column"] == name, F.lit(False))),
+            worded,
+            lambda c: ~F.exists(picked, lambda p: F.coalesce(p["column"] == c["name"], F.lit(False))),
         )
         scored = F.transform(
-            free, lambda name: F.struct(match_score(name, synonyms).alias("score"), name.alias("column"))
+            free, lambda c: F.struct(_best_overlap(c, synonyms).alias("score"), c["name"].alias("column"))
         )
         best = F.array_max(F.filter(scored, lambda c: c["score"] >= ACCEPTED_SCORE))
         return F.array_append(picked, best)
 
-    return F.aggregate(fields, F.array().cast("array<struct<score:double,column:string>>"), choose)
+    return let(
+        F.transform(F.filter(columns, lambda name: name != ""), _worded),
+        lambda worded: F.aggregate(
+            fields,
+            F.when(worded.isNotNull(), F.array().cast("array<struct<score:double,column:string>>")),
+            lambda picked, synonyms: choose(worded, picked, synonyms),
+        ),
+    )
 
 
 def suggest_mapping(profiles: DataFrame) -> DataFrame:
