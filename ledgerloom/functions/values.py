@@ -178,11 +178,11 @@ def payment_context(text: Column) -> Column:
             for words, method, kind in PAYMENT_HINTS
         ]
     )
-    hit = let(
+    first = let(
         normalize_text(text),
         lambda normalized: F.get(F.filter(hints, lambda h: F.regexp_like(normalized, h["words"])), F.lit(0)),
     )
-    return F.struct(hit["method"].alias("method"), hit["instrument"].alias("instrument"))
+    return let(first, lambda hit: F.struct(hit["method"].alias("method"), hit["instrument"].alias("instrument")))
 
 
 def _date_of(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
@@ -190,9 +190,13 @@ def _date_of(text: Column, pattern: str, year: int, month: int, day: int) -> Col
     y = F.regexp_extract(text, pattern, year)
     m = F.lpad(F.regexp_extract(text, pattern, month), 2, "0")
     d = F.lpad(F.regexp_extract(text, pattern, day), 2, "0")
-    # Only the last days of short months are left for try_cast to refuse.
-    plausible = (y != "0000") & m.between("01", "12") & d.between("01", "31")
-    return F.when(text.rlike(pattern) & plausible, F.concat_ws("-", y, m, d).try_cast("date"))
+
+    def date(part: Column) -> Column:
+        # Only the last days of short months are left for try_cast to refuse.
+        plausible = (part["y"] != "0000") & part["m"].between("01", "12") & part["d"].between("01", "31")
+        return F.when(plausible, F.concat_ws("-", part["y"], part["m"], part["d"]).try_cast("date"))
+
+    return F.when(text.rlike(pattern), let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), date))
 
 
 YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"

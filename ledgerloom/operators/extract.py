@@ -91,8 +91,7 @@ def extract_candidates(rows: DataFrame) -> DataFrame:
         .when(~split, from_text)
         .otherwise(F.lit(values.OUTFLOW)),
     )
-    date = values.parse_date(F.col("_transaction_date"), spec["date_order"])
-    balance = F.when(~signed, values.parse_money(F.col("_balance")))
+    date, time, balance, context = F.col("_date"), F.col("_time"), F.col("_balance_minor"), F.col("_context")
     context_text = (
         F.when(split, F.col("_description"))
         .when(F.col("_payment_method") != "", F.col("_payment_method"))
@@ -107,17 +106,25 @@ def extract_candidates(rows: DataFrame) -> DataFrame:
     warning = F.lit("invalid_row")
     warnings = F.array_compact(
         F.array(
-            F.when(~split & values.bad_time(F.col("_transaction_time")), warning),
+            F.when(~split & (F.col("_transaction_time") != "") & time.isNull(), warning),
             F.when(~signed & (F.col("_balance") != "") & balance.isNull(), warning),
         )
     )
-    context = values.payment_context(context_text)
+    # What is mentioned twice below is worked out once, in columns of its own.
+    parsed = parsed.withColumns(
+        {
+            "_date": values.parse_date(F.col("_transaction_date"), spec["date_order"]),
+            "_time": F.when(~split, values.parse_time(F.col("_transaction_time"))),
+            "_balance_minor": F.when(~signed, values.parse_money(F.col("_balance"))),
+            "_context": values.payment_context(context_text),
+        }
+    )
     external_id = F.when(~signed & (F.col("_external_id") != ""), F.col("_external_id"))
     absent = F.lit(None).cast("string")
     return parsed.select(
         *rows.columns,
         date.alias("transaction_date"),
-        F.when(~split, values.parse_time(F.col("_transaction_time"))).alias("transaction_time"),
+        time.alias("transaction_time"),
         minor.alias("amount_minor"),
         direction.alias("amount_direction"),
         spec["currency"].alias("currency"),

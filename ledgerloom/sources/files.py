@@ -140,9 +140,8 @@ def detect_delimiter(text: Column) -> Column:
     order comma, semicolon, tab, pipe.
     """
     sample = F.regexp_replace(text, _QUOTED, "")
-    lines = F.filter(F.split(sample, "\n"), lambda line: strip(line) != "")
 
-    def score(order: int, delimiter: str) -> Column:
+    def score(lines: Column, order: int, delimiter: str) -> Column:
         def with_counts(counts: Column) -> Column:
             # Longest run of equal counts once they are sorted.
             start = F.struct(F.lit(0).alias("value"), F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -163,10 +162,14 @@ def detect_delimiter(text: Column) -> Column:
         counts = F.transform(
             lines, lambda line: F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit("")))
         )
-        return with_counts(counts)
+        return let(counts, with_counts)
 
-    best = F.array_max(F.array(*[score(i, d) for i, d in enumerate(DELIMITERS)]))
-    return F.when(best["total"] > 0, best["delimiter"])
+    def best_of(lines: Column) -> Column:
+        return F.array_max(F.array(*[score(lines, i, d) for i, d in enumerate(DELIMITERS)]))
+
+    # Each step is bound, so that no array is made anew for every mention.
+    kept = let(F.split(sample, "\n"), lambda lines: F.filter(lines, lambda line: strip(line) != ""))
+    return let(let(kept, best_of), lambda best: F.when(best["total"] > 0, best["delimiter"]))
 
 
 def _pattern(template: str, delimiter: Column) -> Column:
