@@ -16,7 +16,7 @@ from ledgerloom.operators.history import current_decisions
 from ledgerloom.operators.runs import neighbours
 from ledgerloom.operators.skew import HOT_ROWS_MIN, hot_keys, lookup, lookup_dimension
 from ledgerloom.plans.maintain import content_of
-from ledgerloom.sources.store import Store
+from ledgerloom.sources.store import Store, stage_shared
 
 REMEMBERED_NAME = "Remembered by user"
 
@@ -77,7 +77,8 @@ def correct_classifications(
     rule_priority, requested_at. ``seq`` is unique and grows with time; ``clock`` places the
     rules made here among those of other batches.
     """
-    checked = check_requests(requests, transactions, categories, hot_rows_min)
+    # Read by every table made below.
+    checked = stage_shared(check_requests(requests, transactions, categories, hot_rows_min), "checked-requests")
     accepted = checked.where("error_code is null").withColumn(
         "decision_id", keys.name_uuid(F.concat_ws(":", F.lit("decision"), "transaction_id", F.col("seq").cast("string")))
     )
