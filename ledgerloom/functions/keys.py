@@ -28,6 +28,22 @@ def record_hash(cells: Column) -> Column:
     return F.sha2(F.when(rare, lowered).otherwise(text), 256)
 
 
+def pack_hex(text: Column) -> Column:
+    """Different bytes for different texts; lower-case hex digits take half a byte each."""
+    digits = F.unhex(text)
+    return F.when(F.lower(F.hex(digits)) == text, F.concat(F.unhex(F.lit("01")), digits)).otherwise(
+        F.concat(F.unhex(F.lit("00")), F.encode(text, "UTF-8"))
+    )
+
+
+def unpack_hex(packed: Column) -> Column:
+    """The text that pack_hex packed."""
+    rest = F.substring(packed, F.lit(2), F.octet_length(packed))
+    return F.when(F.substring(packed, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(
+        F.decode(rest, "UTF-8")
+    )
+
+
 def name_uuid(text: Column) -> Column:
     """UUID version 5 of a text in the URL namespace."""
     digest = F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_URL.hex)), F.encode(text, "UTF-8")))

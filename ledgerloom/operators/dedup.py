@@ -9,15 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.keys import pack_hex, unpack_hex
 from ledgerloom.operators.skew import HOT_ROWS_MIN, hot_keys, lookup, mark_first
 
 
 def mark_in_file_duplicates(rows: DataFrame, hot_rows_min: int = HOT_ROWS_MIN) -> DataFrame:
-    """Adds is_duplicate: an earlier row of the same file has the same record hash."""
+    """Adds is_duplicate: an earlier row of the same file has the same record hash.
+
+    Hashes are shuffled as bytes, half as long as their digits.
+    """
+    packed = rows.withColumn("source_record_hash", pack_hex(F.col("source_record_hash")))
     marked = mark_first(
-        rows, ["file_id", "source_record_hash"], ["row_number"], flag="_first_row", hot_rows_min=hot_rows_min
+        packed, ["file_id", "source_record_hash"], ["row_number"], flag="_first_row", hot_rows_min=hot_rows_min
+    )
+    return (
+        marked.withColumn("source_record_hash", unpack_hex(F.col("source_record_hash")))
+        .withColumn("is_duplicate", ~F.col("_first_row"))
+        .drop("_first_row")
     )
-    return marked.withColumn("is_duplicate", ~F.col("_first_row")).drop("_first_row")
 
 
 def skip_imported(files: DataFrame, import_runs: DataFrame, order: list[str]) -> DataFrame:
