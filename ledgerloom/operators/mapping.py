@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,67 +45,81 @@ SYNONYMS = {
 }
 
 
-def _known_names(names: list[str]) -> Column:
-    """Names with their distinct words, as constants."""
-    words = [list(dict.fromkeys(name.split(" "))) for name in names]
-    return F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.array(*[F.lit(w) for w in known]).alias("words"), F.lit(len(known)).alias("n"))
-            for name, known in zip(names, words)
-        ]
-    )
-
-
-def _worded(column: Column) -> Column:
-    """A column name with its distinct words, cut once for all comparisons."""
-    return let(
-        F.array_distinct(F.split(column, " ")),
-        lambda words: F.struct(column.alias("name"), words.alias("words"), F.size(words).alias("n")),
-    )
-
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-def _best_overlap(column: Column, synonyms: Column) -> Column:
-    """1 for an exact name, else the best word overlap, at least 0.8 if contained."""
 
-    def overlap(synonym: Column) -> Column:
-        both = F.size(F.array_intersect(column["words"], synonym["words"]))
-        # Single words share all or nothing, and the equal ones were found before.
-        jaccard = F.when((column["n"] == 1) & (synonym["n"] == 1), F.lit(0.0)).otherwise(
-            let(both, lambda shared: shared / (column["n"] + synonym["n"] - shared))
-        )
-        contained = column["name"].contains(synonym["name"]) | synonym["name"].contains(column["name"])
-        return F.greatest(jaccard, F.when(contained, F.lit(CONTAINED_SCORE)))
+def _score(name: Column, words: Column, synonyms: list[str]) -> Column:
+    """1 for an exact name, else the best word overlap, at least 0.8 if contained; null if that is not accepted.
 
-    return F.when(F.exists(synonyms, lambda s: s["name"] == column["name"]), F.lit(1.0)).otherwise(
-        F.array_max(F.transform(synonyms, overlap))
-    )
+    words: the distinct words of a name of several, null for one word alone. One word against several
+    shares at most half of them, which is not accepted, so the overlap is of names of several words only.
+    """
+    # What holds a synonym holds the synonyms inside that one too.
+    least = [s for s in synonyms if not any(t in s and t != s for t in synonyms)]
+    # No synonym has a line end.
+    inside = F.lit("\n".join(synonyms)).contains(name) & ~name.contains("\n")
+    overlaps = []
+    for known in (list(dict.fromkeys(s.split(" "))) for s in synonyms):
+        if len(known) > 1:
+            shared = reduce(lambda a, b: a + b, [F.array_contains(words, w).cast("int") for w in known])
+            overlaps.append(let(shared, lambda n, k=len(known): F.when(n > 1, n / (F.size(words) + k - n))))
+    contained = F.when(_any([name.contains(s) for s in least]) | inside, F.lit(CONTAINED_SCORE))
+    partial = F.when(words.isNotNull(), F.greatest(contained, F.lit(0.0), *overlaps)).otherwise(contained) if overlaps else contained
+    return F.when(name.isin(synonyms), F.lit(1.0)).otherwise(partial)
+
+
+def _known_score(name: str, synonyms: list[str]) -> float | None:
+    """_score of a fixed name."""
+    if name in synonyms:
+        return 1.0
+    words, found = set(name.split(" ")), [CONTAINED_SCORE for s in synonyms if s in name or name in s]
+    for known in (set(s.split(" ")) for s in synonyms):
+        if min(len(words), len(known)) > 1:
+            found.append(len(words & known) / len(words | known))
+    return max(found, default=None)
+
+
+def _known_scores() -> Column:
+    """Name -> scores for every field, as a constant, of the names in SYNONYMS."""
+    known = [(s, [_known_score(s, names) for names in SYNONYMS.values()]) for s in dict.fromkeys(s for names in SYNONYMS.values() for s in names)]
+    scores = [F.array(*[F.lit(x).cast("double") for x in row]) for _, row in known]
+    return F.create_map(*[c for (name, _), row in zip(known, scores) for c in (F.lit(name), row)])
+
+
+def _scored(name: Column) -> Column:
+    """A column name with its score for every field, each worked out once; names in SYNONYMS have theirs."""
+    words = F.when(name.contains(" "), F.array_distinct(F.split(name, " ")))
+    several = let(words, lambda cut: F.when(F.size(cut) > 1, cut))
+    tested = let(several, lambda cut: F.array(*[_score(name, cut, names) for names in SYNONYMS.values()]))
+    return F.struct(name.alias("name"), F.coalesce(F.try_element_at(_known_scores(), name), tested).alias("scores"))
 
 
 def assign_columns(columns: Column) -> Column:
     """array<struct(score, column)> aligned with SYNONYMS; null where nothing fits.
 
-    A fold over ten constants: each field takes the best column not taken by an
-    earlier field; equal scores go to the column that sorts last.
+    A fold over the fields: each takes the best column not taken by an earlier field;
+    equal scores go to the column that sorts last.
     """
-    fields = F.array(*[_known_names(names) for names in SYNONYMS.values()])
 
-    def choose(worded: Column, picked: Column, synonyms: Column) -> Column:
+    def choose(scored: Column, picked: Column, field: Column) -> Column:
         free = F.filter(
-            worded,
-            lambda c: ~F.exists(picked, lambda p: F.coalesce(p["column"] == c["name"], F.lit(False))),
-        )
-        scored = F.transform(
-            free, lambda c: F.struct(_best_overlap(c, synonyms).alias("score"), c["name"].alias("column"))
+            scored,
+            lambda c: (F.get(c["scores"], field) >= ACCEPTED_SCORE)
+            & ~F.exists(picked, lambda p: F.coalesce(p["column"] == c["name"], F.lit(False))),
         )
-        best = F.array_max(F.filter(scored, lambda c: c["score"] >= ACCEPTED_SCORE))
+        best = F.array_max(F.transform(free, lambda c: F.struct(F.get(c["scores"], field).alias("score"), c["name"].alias("column"))))
         return F.array_append(picked, best)
 
     return let(
-        F.transform(F.filter(columns, lambda name: name != ""), _worded),
-        lambda worded: F.aggregate(
-            fields,
-            F.when(worded.isNotNull(), F.array().cast("array<struct<score:double,column:string>>")),
-            lambda picked, synonyms: choose(worded, picked, synonyms),
+        F.filter(
+            F.transform(F.filter(columns, lambda name: name != ""), _scored),
+            lambda c: F.exists(c["scores"], lambda score: score >= ACCEPTED_SCORE),
+        ),
+        lambda scored: F.aggregate(
+            F.array(*[F.lit(i) for i in range(len(SYNONYMS))]),
+            F.when(scored.isNotNull(), F.array().cast("array<struct<score:double,column:string>>")),
+            lambda picked, field: choose(scored, picked, field),
         ),
     )
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalogue import queries, views
 from ledgerloom.functions import keys
+from ledgerloom.operators import mapping
 from ledgerloom.plans import correct
 from ledgerloom.sources import files
 
@@ -36,3 +37,14 @@ def test_requests_are_checked_once(spark, monkeypatch):
     monkeypatch.setattr(correct, "stage_shared", lambda frame, name: staged.append(name) or keep(frame, name))
     queries._corrected(spark, "/root/testdata/sf0.001")
     assert staged == ["checked-requests"]
+
+
+def test_names_are_scored_once_for_all_fields(spark):
+    known = [s for names in mapping.SYNONYMS.values() for s in names]
+    names = [*known, "transacao data", "data data", "valor em data", "da", "x", "memo\nvalor", "a forma b de pagamento", "pagamento forma"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", mapping._scored(F.col("n"))["scores"].alias("s"))
+    for r in rows.collect():
+        model = [mapping._known_score(r.n, synonyms) for synonyms in mapping.SYNONYMS.values()]
+        assert [x if (x or 0) >= 0.6 else None for x in r.s] == [x if (x or 0) >= 0.6 else None for x in model], r.n
+    plan = mapping.suggest_mapping(rows.select(F.array("n").alias("columns")))._jdf.queryExecution().analyzed().toString()
+    assert "array_intersect" not in plan and plan.count("memo, ") < 4
