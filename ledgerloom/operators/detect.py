@@ -40,8 +40,24 @@ def detect_formats(profiles: DataFrame, specs: DataFrame, inline_max: int = INLI
     no candidates.
     """
     if is_small(specs, inline_max):
+        wanted = F.array_distinct("expected_columns")
+        n = F.coalesce(F.size(wanted), F.lit(0))
+
+        def by_shared(same: bool) -> Column:
+            """Scores of a spec by the number of shared names."""
+            return F.transform(F.sequence(F.lit(0), n), lambda shared: format_score(shared, n, F.lit(same)))
+
         known = specs.agg(
-            F.collect_list(F.struct(spec_struct().alias("spec"), F.size(F.array_distinct("expected_columns")).alias("expected")))
+            F.collect_list(
+                F.struct(
+                    spec_struct().alias("spec"),
+                    n.alias("n"),
+                    F.array_compact(wanted).alias("wanted"),
+                    F.exists(wanted, lambda name: name.isNull()).alias("blank"),
+                    by_shared(True).alias("same"),
+                    by_shared(False).alias("other"),
+                )
+            )
         ).scalar()
         ranked = profiles.withColumn("_specs", known).withColumn("_ranked", _rank_inline()).drop("_specs")
     else:
@@ -51,23 +67,31 @@ def detect_formats(profiles: DataFrame, specs: DataFrame, inline_max: int = INLI
 
 
 def _rank_inline() -> Column:
-    scored = F.transform(
-        "_specs",
-        lambda s: F.struct(
-            format_score(
-                F.size(F.array_intersect(s["spec"]["expected_columns"], F.col("columns"))),
-                s["expected"],
-                s["spec"]["delimiter"] == F.col("delimiter"),
-            ).alias("score"),
-            (-s["spec"]["spec_order"]).alias("place"),
-            s["spec"]["format_id"].alias("format_id"),
-            s["spec"].alias("spec"),
-        ),
-    )
-    # The spec itself holds no map, so the struct is orderable: score, then place.
-    top = F.slice(F.sort_array(scored, asc=False), 1, LISTED)
+    columns = F.col("columns")
+
+    def rank(blank: Column) -> Column:
+        def score(s: Column) -> Column:
+            shared = F.coalesce(F.size(F.filter(s["wanted"], lambda name: F.array_contains(columns, name))), F.lit(0))
+            shared += F.coalesce((s["blank"] & blank).cast("int"), F.lit(0))
+            # Null columns share an unknown number of names.
+            shared = F.when(columns.isNotNull() | (s["n"] == 0), shared)
+            return F.get(F.when(s["spec"]["delimiter"] == F.col("delimiter"), s["same"]).otherwise(s["other"]), shared)
+
+        # Score, then place, then name; the specs themselves follow for the best ones only.
+        scored = F.transform(
+            "_specs",
+            lambda s, i: F.struct(
+                score(s).alias("score"),
+                (-s["spec"]["spec_order"]).alias("place"),
+                s["spec"]["format_id"].alias("format_id"),
+                i.alias("i"),
+            ),
+        )
+        return F.slice(F.sort_array(scored, asc=False), 1, LISTED)
+
     return F.transform(
-        top, lambda r: F.struct(r["score"].alias("score"), r["place"].alias("place"), r["spec"].alias("spec"))
+        let(F.exists(columns, lambda name: name.isNull()), rank),
+        lambda r: F.struct(r["score"].alias("score"), r["place"].alias("place"), F.get("_specs", r["i"])["spec"].alias("spec")),
     ).cast(_RANKED)
 
 

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalogue import queries, views
 from ledgerloom.functions import keys
-from ledgerloom.operators import mapping
+from ledgerloom.operators import detect, mapping
 from ledgerloom.plans import correct
-from ledgerloom.sources import files
+from ledgerloom.sources import files, formats
 
 
 def test_profiles_of_one_row_group_are_spread(spark, tmp_path):
@@ -48,3 +48,19 @@ def test_names_are_scored_once_for_all_fields(spark):
         assert [x if (x or 0) >= 0.6 else None for x in r.s] == [x if (x or 0) >= 0.6 else None for x in model], r.n
     plan = mapping.suggest_mapping(rows.select(F.array("n").alias("columns")))._jdf.queryExecution().analyzed().toString()
     assert "array_intersect" not in plan and plan.count("memo, ") < 4
+
+
+def test_specs_are_scored_once_per_registry(spark):
+    specs = formats.builtin_specs(spark)
+    files_ = spark.createDataFrame(
+        [(1, ["data", "hora", "valor"], ",", None), (2, None, ";", None), (3, ["data", None, "historico"], ";", None), (4, [], None, "x")],
+        "i int, columns array<string>, delimiter string, issue_code string",
+    )
+    found = detect.detect_formats(files_, specs)
+    by_file = {r.i: r.format_candidates for r in found.collect()}
+    expected = {r.format_id: (set(r.expected_columns), r.delimiter) for r in specs.collect()}
+    for i, columns, delimiter in ((1, {"data", "hora", "valor"}, ","), (3, {"data", "historico"}, ";")):
+        model = {k: round(len(e & columns) / len(e) * 0.85 + 0.15 * (d == delimiter), 4) for k, (e, d) in expected.items()}
+        assert {c.format_id: c.confidence for c in by_file[i]} == {k: model[k] for k in sorted(model, key=model.get)[-3:]}
+    assert all(c.confidence is None for c in by_file[2]) and by_file[4] is None
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
