@@ -37,9 +37,10 @@ GROUP_BYTES = 4_000_000
 TOKENS = "doc_id long, part int, start long, stop long, ids array<int>"
 
 #: Sentence signs at the end of a piece become a piece of their own; letters and signs never share a token.
-_LAST_SIGNS = r"([A-Za-z0-9])([.,;:!?]+)([ \t\n\x0b\x0c\r]|$)"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įıĴ-ńŊ-ž"
+_LAST_SIGNS = rf"([0-9{_LETTERS}])([.,;:!?]+)([ \t\n\x0b\x0c\r]|$)"
 #: Pieces that normalise to their lower case and are one word each.
-_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įıĴ-ńŊ-ž]+")
+_WORD = re.compile(f"[{_LETTERS}]+")
 
 
 class Pieces:
@@ -62,30 +63,50 @@ class Pieces:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 12, np.int64)
+        self.met = np.zeros(1 << 12, bool)
         self.used = 0
 
+    def _thin(self) -> None:
+        """Forget the pieces that were met in one group of texts only, or all where that leaves too many."""
+        again = np.flatnonzero(self.met[: len(self.number)])
+        if len(again) > KEPT_PIECES // 2:
+            return self._forget()
+        words = [*self.number]
+        begin, sizes = self.starts[again], self.starts[again + 1] - self.starts[again]
+        ends = np.cumsum(sizes)
+        self.used = int(sizes.sum())
+        self.ids[: self.used] = self.ids[np.arange(self.used) + np.repeat(begin - ends + sizes, sizes)]
+        self.starts[1 : len(again) + 1] = ends
+        self.met[:] = False
+        self.number = {words[i]: n for n, i in enumerate(again.tolist())}
+
     def _learn(self, pieces: list[str]) -> None:
         # Plain words go to the library's model at once, all else through its whole chain.
-        model, spelling, found, others = self.tokenizer.model, self.spelling, [], []
-        for i, piece in enumerate(pieces):
+        tokenize, spelling, plain, sizes, found = self.tokenizer.model.tokenize, self.spelling, [], [], []
+        others = []
+        for piece in pieces:
             if _WORD.fullmatch(piece):
                 low = piece.lower()
-                spelled = low if low.isascii() else low.encode().decode("latin-1").translate(spelling)
-                found.append([t.id for t in model.tokenize(spelled)])
+                ids = [t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(spelling))]
+                plain.append(piece)
+                sizes.append(len(ids))
+                found += ids
             else:
-                found.append(None)
-                others.append(i)
-        for i, e in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ends = self.used + np.cumsum(sizes)
+                others.append(piece)
+        for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False):
+            ids = e.ids
+            sizes.append(len(ids))
+            found += ids
+        pieces = plain + others
+        ends = self.used + np.cumsum(np.array(sizes, np.int64))
         known = len(self.number)
-        if known + len(found) + 1 > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.zeros(max(len(self.starts), len(found) + 1), np.int64)))
+        if known + len(pieces) + 1 > len(self.starts):
+            more = max(len(self.starts), len(pieces) + 1)
+            self.starts, self.met = np.concatenate((self.starts, np.zeros(more, np.int64))), np.concatenate((self.met, np.zeros(more, bool)))
         if ends[-1] > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), int(sizes.sum())), np.int32)))
-        self.starts[known + 1 : known + 1 + len(found)] = ends
-        self.ids[self.used : ends[-1]] = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(found)), np.int32)))
+        self.starts[known + 1 : known + 1 + len(pieces)] = ends
+        self.ids[self.used : ends[-1]] = np.array(found, np.int32)
         self.used = int(ends[-1])
         self.number.update(zip(pieces, range(known, known + len(pieces)), strict=True))
 
@@ -96,11 +117,14 @@ class Pieces:
         coded = parts.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if len(self.number) > KEPT_PIECES:
-            self._forget()
+            self._thin()
+        known = len(self.number)
         missing = [w for w in pieces if w not in self.number]
         if missing:
             self._learn(missing)
-        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))[np.asarray(coded.indices)]
+        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        self.met[numbers[numbers < known]] = True
+        numbers = numbers[np.asarray(coded.indices)]
         begin = self.starts[numbers]
         ends = np.cumsum(self.starts[numbers + 1] - begin)
         sizes = np.diff(ends, prepend=0)

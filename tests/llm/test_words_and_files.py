@@ -9,6 +9,7 @@ from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -230,3 +231,18 @@ def test_files_and_selective_reads(spark, tokenizer, token_rows, tmp_path, encod
     assert len(groups) > len(files)
     with pytest.raises(ValueError):
         token_files.write_tokens(_docs(spark, unique), word_vocabulary(), path, ids_encoding="plain")
+
+
+def test_pieces_met_again_are_kept(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 12)
+    with open(word_vocabulary(), encoding="utf-8") as f:
+        spec = f.read()
+    pieces, plain = token_files.Pieces(spec), Tokenizer.from_str(spec)
+    groups = [["café. été, on", "one Ímã!"], ["café on it's", None], ["two three four five, six"], ["on café née; x"], ["seven on two Ö?! ó.", ""]]
+    learned, learn = [], pieces._learn
+    monkeypatch.setattr(pieces, "_learn", lambda words: learned.extend(words) or learn(words))
+    for group in groups:
+        ids, bounds = pieces.encode(pa.array(group, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(t or "", add_special_tokens=False).ids for t in group]
+    # Signs after accented letters are pieces of their own; what was met twice is learned once.
+    assert "café." not in learned and learned.count("café") == 1 == learned.count("on")
