@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space of the word pattern `[^\x20\x09-\x0D]+`.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shuffle files are dropped with the write that made them, not when the driver happens to collect garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,12 +38,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return a reader of it.
 
     Cuts lineage: a lost executor costs the tasks after this point, never the ones before.
-    The files lie in a folder named after the application, to be dropped when it has ended.
+    The files lie in a folder named after the application, to be dropped when it has ended. Shuffle
+    files of the write go when it has ended: nothing reads them again.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/staged-{app}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

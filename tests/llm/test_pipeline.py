@@ -1,10 +1,14 @@
 """The pipeline over a small corpus, and the registered queries that have SQL."""
 
+import os
+import tempfile
+from pathlib import Path
+
 import duckdb
 
 import corpus_pipeline
 from ledgerloom.llm import oracles, queries
-from ledgerloom.llm.common import stage
+from ledgerloom.llm.common import CLEAN_SHUFFLES, stage
 from tests.conftest import SF_DIR
 
 
@@ -52,3 +56,16 @@ def test_tool_calls_equal_their_sql(spark):
         columns = [d[0] for d in told.description]
         got = queries.REGISTERED[name](spark, SF_DIR).select(*columns).collect()
         assert sorted(map(tuple, got), key=str) == sorted(told.fetchall(), key=str)
+
+
+def test_staged_writes_leave_no_shuffle_files(spark, tmp_path):
+    local = [p for p in Path(spark.conf.get("spark.local.dir", tempfile.gettempdir())).glob("blockmgr-*") if os.access(p, os.W_OK)]
+    files = lambda: {f for p in local for f in p.rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(CLEAN_SHUFFLES)
+    rows = stage(spark.range(1000).repartition(3).groupBy("id").count(), "t")
+    assert len(rows.collect()) == 1000 and spark.conf.get(CLEAN_SHUFFLES) == setting
+    plain = spark.range(1000).repartition(3, "id")
+    plain.write.parquet(str(tmp_path / "plain"))
+    own = files() - before
+    # The plain write's files show that the folder is the right one.
+    assert len(own) > 0 and len({f.name.split("_")[1] for f in own}) == 1
